@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmeter.llm import langid, packing, quality
+from voxmeter.llm import htmltext, langid, packing, quality, urls
 from voxmeter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,27 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
+
+
+ORACLES["op3_url_filters"] = f"""
+WITH p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r(h, s, v) AS (VALUES {", ".join(map(str, urls.RULES))})
+SELECT page_id, host, path,
+  (SELECT max_by(h || s, length(h || s)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS rule,
+  coalesce((SELECT max_by(v, length(h || s)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)), 'allow') AS verdict
+FROM p
+"""
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
