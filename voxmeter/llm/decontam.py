@@ -120,6 +120,13 @@ def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> int:
     return covered
 
 
+def coverages(bench: Benchmark, text: str | None, min_match: int, threshold: float) -> list[tuple[float, int]]:
+    """(share of the item's words that tiles cover, item id) of the items that a text comes near to."""
+    known = bench.words.get
+    ids = np.fromiter((known(w, -1) for w in WORD.findall((text or "").lower())), dtype=np.int64)
+    return [(tile(ids, bench.items[i], min_match) / len(bench.items[i]), bench.item_ids[i]) for i in bench.likely(ids, threshold)]
+
+
 def shards(benchmark: DataFrame, id_col: str, text_col: str, chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in lists of about ``chars`` characters, each collected by itself."""
     rows = benchmark.select(benchmark[id_col].cast("long").alias("id"), benchmark[text_col].cast("string").alias("text")).dropna()
@@ -138,12 +145,10 @@ def match_shard(docs: DataFrame, items: list[tuple[int, str]], min_match: int, t
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
-        known = bench.words.get
         for batch in batches:
             found, share = [], []
             for text in batch.column(batch.num_columns - 1):
-                ids = np.fromiter((known(w, -1) for w in WORD.findall((text.as_py() or "").lower())), dtype=np.int64)
-                own = [(tile(ids, bench.items[i], min_match) / len(bench.items[i]), bench.item_ids[i]) for i in bench.likely(ids, threshold)] if len(ids) else []
+                own = coverages(bench, text.as_py(), min_match, threshold)
                 found.append(sorted({i for c, i in own if c >= threshold}))
                 share.append(max((c for c, _ in own), default=0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64())), pa.array(share, pa.float64())], names=names)
@@ -172,3 +177,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 3, thr
         out = union.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("item_ids") > 0, F.col("item_ids")))))).alias("item_ids"), F.max("coverage").alias("coverage"), F.count_if(F.col("shard") == 0).alias("n"))
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "coverage")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 3, threshold: float = 0.6, text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns; the same rules as ``decontaminate``. Nothing is shuffled."""
+    at = docs.columns.index(text_col)
+    for items in shards(benchmark, "item_id", "text", shard_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, min_match))
+
+        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench = shared.value
+            for batch in batches:
+                keep = [not any(c >= threshold for c, _ in coverages(bench, t.as_py(), min_match, threshold)) for t in batch.column(at)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(task, docs.schema)
+    return docs
