@@ -27,7 +27,8 @@ def category(point: Column) -> Column:
 def categorized(points: Column) -> Column:
     """Map of category to its pain points, without empty categories."""
     names = [*PAIN_CATEGORIES, "otros"]
-    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.filter(points, lambda x, n=n: category(x) == n) for n in names])), lambda _, v: F.size(v) > 0)
+    of = lambda name: F.filter(points, lambda x: category(x) == name)
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(of, names))), lambda _, v: F.size(v) > 0)
 
 
 def severity(n: Column, churn: Column) -> Column:

@@ -73,15 +73,20 @@ def strip_html(c: Column) -> Column:
     return replaced(F.regexp_replace(c, "<[^>]+>", ""), ENTITIES)
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
+def nfc(c: Column) -> Column:
     """Unicode NFC; Spark has no function for it."""
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-@F.pandas_udf("string")
-def without_accents(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"), na_action="ignore")
+    return F.pandas_udf(f, "string")(c)
+
+
+def without_accents(c: Column) -> Column:
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: "".join(k for k in unicodedata.normalize("NFD", x) if unicodedata.category(k) != "Mn"), na_action="ignore")
+
+    return F.pandas_udf(f, "string")(c)
 
 
 def normalize_space(c: Column) -> Column:

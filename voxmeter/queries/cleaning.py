@@ -167,7 +167,7 @@ def d4_strip_html(t):
 
 @query("SELECT comment_id, nfc_normalize(comment) AS nfc, strip_accents(comment) AS plain FROM comments")
 def d5_unicode_form(t):
-    return t.comments.select("comment_id", text.nfc("comment").alias("nfc"), text.without_accents("comment").alias("plain"))
+    return t.comments.select("comment_id", text.nfc(F.col("comment")).alias("nfc"), text.without_accents(F.col("comment")).alias("plain"))
 
 
 @query(f"SELECT comment_id, {sub('comment', r'\s+', ' ')} AS comment FROM comments")

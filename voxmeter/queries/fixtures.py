@@ -5,6 +5,8 @@ All rows and whole texts of ``documents`` and ``events`` are used.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voxmeter.constants import EMOTIONS
@@ -68,10 +70,21 @@ def oracle(sql: str, extra: dict[str, str]) -> str:
                     used.append(n)
 
     visit(sql)
-    return ("WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in used) + "\n" if used else "") + sql
+    return as_bigint(("WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in used) + "\n" if used else "") + sql)
 
 
-def _mentions(text: str, name: str) -> bool:
-    import re
+def as_bigint(sql: str) -> str:
+    """count_if(..) as BIGINT; DuckDB's own type for it has 128 bits."""
+    out, at = [], 0
+    for m in re.finditer(r"count_if\(", sql):
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += [sql[at : m.start()], f"CAST({sql[m.start() : end]} AS BIGINT)"]
+        at = end
+    return "".join([*out, sql[at:]])
 
+
+def _mentions(text: str, name: str) -> bool:
     return re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text, re.I) is not None

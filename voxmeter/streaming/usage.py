@@ -46,7 +46,7 @@ def hourly_trend(df: DataFrame, ts: str = "ts") -> DataFrame:
     end = df.agg(F.max(micros(ts)).alias("end"))
     place = F.floor((micros(ts) - (F.col("end") - 60 * MINUTE)) / (5 * MINUTE))
     got = df.crossJoin(F.broadcast(end)).where(micros(ts) > F.col("end") - 60 * MINUTE).withColumn("place", F.least(place, F.lit(11))).groupBy("place").agg(F.sum("requests_made").alias("requests"), F.sum("tokens_used").alias("tokens"), F.avg("processing_time").alias("mean_time"))
-    every = end.where("end is not null").select(F.explode(F.sequence(F.lit(0), F.lit(11))).cast("long").alias("place"))
+    every = end.where("end is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("place"))
     return every.join(got, "place", "left").select("place", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("mean_time", F.lit(0.0)).alias("mean_time"))
 
 
