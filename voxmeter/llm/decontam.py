@@ -82,6 +82,8 @@ class Benchmark:
 def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> int:
     """Words of the item that greedy string tiling covers by runs of at least ``min_match`` words (a shorter item by itself)."""
     least = min(min_match, len(item))
+    if not least or len(doc) < least:
+        return 0
     free_doc, free_item = np.ones(len(doc), dtype=bool), np.ones(len(item), dtype=bool)
     length = least
     while length * 2 <= min(len(doc), len(item)):
