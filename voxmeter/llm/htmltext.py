@@ -135,7 +135,7 @@ def smooth(x: np.ndarray) -> np.ndarray:
 def content(found: list[tuple]) -> list[str]:
     """The texts of the blocks that belong to the main text."""
     inside = [b for b in found if ROOTS & set(b[0])]
-    if sum(len(b[2]) for b in inside) * 4 >= sum(len(b[2]) for b in found):
+    if sum(len(b[2]) for b in inside) * 10 >= sum(len(b[2]) for b in found):
         found = inside
     if not found:
         return []
