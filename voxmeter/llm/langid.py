@@ -21,7 +21,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,18 +166,17 @@ def backed_off(model: Model, key: np.ndarray, n: int) -> np.ndarray:
     return np.where(hit[:, None], weights[at], np.float32(0)) + log_p(model, key, n - 1)
 
 
-def assemble(rows: pd.DataFrame) -> Model:
-    """Sorted arrays from the rows of ``kneser_ney``; an n-gram that only some languages have gets the others' backed-off values."""
-    langs = sorted(rows["lang"].unique())
+def assemble(langs: list[str], rows: pa.Table) -> Model:
+    """Sorted arrays from the rows of ``kneser_ney``, languages by number; what a language lacks of an n-gram is NaN."""
     model = Model(langs, {}, {})
-    of = {lang: i for i, lang in enumerate(langs)}
+    order, is_p, slot, lang, value = (rows.column(i).to_numpy() for i in range(5))
     for n in range(1, ORDER + 1):
-        for kind, into in (("b", model.b), ("p", model.p)):
-            part = rows[(rows["order"] == n) & (rows["kind"] == kind)]
-            slots, at = np.unique(part["slot"].to_numpy().astype(np.uint32), return_inverse=True)
+        for p, into in ((False, model.b), (True, model.p)):
+            own = (order == n) & (is_p == p)
+            slots, at = np.unique(slot[own].astype(np.uint32), return_inverse=True)
             grid = np.full((len(slots), len(langs)), np.nan, dtype=np.float32)
-            grid[at, part["lang"].map(of).to_numpy()] = part["value"].to_numpy()
-            into[n] = (slots, np.where(np.isnan(grid), np.float32(0), grid) if kind == "b" else grid)
+            grid[at, lang[own]] = value[own]
+            into[n] = (slots, grid if p else np.where(np.isnan(grid), np.float32(0), grid))
     return model
 
 
@@ -198,16 +196,18 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
     """Models of every language with a letter in a text; None if there is none. Null languages and texts teach nothing."""
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text")).dropna()
     counts = cut(rows.mapInArrow(count_task, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
-    table = kneser_ney(counts).toPandas()
-    if table.empty:
+    langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    if not langs:
         return None
-    model = assemble(table)
+    of = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    rows = kneser_ney(counts).select(F.col("order").cast("int"), (F.col("kind") == "p").alias("p"), F.col("slot").cast("int"), of.alias("lang"), F.col("value").cast("float"))
+    model = assemble(langs, rows.toArrow())
     keys = {}
     for n in range(1, ORDER + 1):
         mask = (1 << (16 * n)) - 1
         key = F.col("key").bitwiseAND(F.lit(mask if n < 4 else -1).cast("long"))
         slot = F.xxhash64(key).bitwiseAND(F.lit((1 << SLOT_BITS) - 1).cast("long"))
-        keys[n] = counts.groupBy(slot.alias("slot")).agg(F.min(key).alias("key")).select("key").toPandas()["key"].to_numpy().view(np.uint64)
+        keys[n] = counts.groupBy(slot.alias("slot")).agg(F.min(key).alias("key")).select("key").toArrow().column(0).to_numpy().view(np.uint64)
     fill(model, keys)
     return model
 
@@ -245,15 +245,16 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str
     return docs.select(*keep, F.col(text_col)).mapInArrow(task, schema)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", z: float = 8.0) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", z: float = 8.0, slack: float = 1.0) -> DataFrame:
     """Predicts each row's language: id, held_out, lang_pred, score, rejected, entropy, n_letters.
 
     Learns from the rows that are not held out and have a language. Null texts and texts
     without a letter are ``und`` with score 0 and rejected; an id that is null is not held
     out and teaches nothing; repeated rows are judged alike; equal cross-entropies go to the
     first language in alphabetical order; an empty table gives no rows. ``rejected``: the
-    best language's cross-entropy is over its training texts' mean by ``z`` standard
-    deviations, each made of a part between texts and a part that shrinks with length.
+    best language's cross-entropy is over its training texts' mean by more than ``slack``
+    nats and by ``z`` standard deviations, each made of a part between texts and a part that
+    shrinks with length.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     model = train(rows.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
@@ -262,6 +263,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     mean = known.groupBy("lang").agg(F.avg("entropy").alias("mean"))
     off = F.pow(F.col("entropy") - F.col("mean"), 2)
     limits = known.join(F.broadcast(mean), "lang").groupBy(F.col("lang").alias("lang_pred")).agg(F.first("mean").alias("mean"), F.avg(F.when(F.col("n_letters") >= 200, off)).alias("between"), F.avg(off * F.col("n_letters")).alias("within"))
-    limit = F.col("mean") + z * F.sqrt(F.coalesce("between", F.lit(0.0)) + F.coalesce("within", F.lit(0.0)) / F.greatest("n_letters", F.lit(1)))
+    spread = F.sqrt(F.coalesce("between", F.lit(0.0)) + F.coalesce("within", F.lit(0.0)) / F.greatest("n_letters", F.lit(1)))
+    limit = F.col("mean") + F.greatest(F.lit(slack), z * spread)
     # One row per language, each with a model in the broadcast above.
     return scored.join(F.broadcast(limits), "lang_pred", "left").select("doc_id", "held_out", "lang_pred", "score", ((F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > limit, F.lit(False))).alias("rejected"), "entropy", "n_letters")

@@ -187,8 +187,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     """
     rows = cut(feature_table(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id"))))
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = rows.where(~F.col("held_out")).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()
-    model = fit(sample[FEATURES].to_numpy(dtype=float), (sample["label"] > 0).to_numpy(dtype=float)) if len(sample) else Gam()
+    sample = rows.where(~F.col("held_out")).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("label", *FEATURES).toArrow()
+    model = fit(np.column_stack([sample.column(f).to_numpy() for f in FEATURES]).astype(float), (sample.column("label").to_numpy() > 0).astype(float)) if sample.num_rows else Gam()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 18 * 48 + 6 * 100 numbers
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
