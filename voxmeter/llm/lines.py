@@ -1,11 +1,10 @@
 """Fuzzy line deduplication by MinHash.
 
 Equal lines are one line from the start. Distinct lines get MinHash signatures of their
-character shingles; bands of a signature deal them into buckets. A bucket proposes its
-pairs with one member and along one order, not all of them; proposed pairs are verified
-by exact Jaccard similarity of the whole lines, and links become components. Buckets
-that still hold several components then propose the pairs across these, so that no
-link within a bucket is lost. Of each component the first line is kept.
+character shingles; bands of a signature deal them into buckets, and buckets of several
+bands with the same lines are one group. A task compares the whole lines of a group by
+exact Jaccard similarity and sends on only the links that connect the similar ones;
+links become components. Of each component the first line is kept.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmeter.llm.common import code_points, cut, runs
-from voxmeter.llm.components import connected_components
+from voxmeter.llm.components import Labels, connected_components
 
 SHINGLE = 7
 BANDS, ROWS = 12, 4
@@ -27,7 +26,9 @@ BANDS, ROWS = 12, 4
 SEED = 42
 CHUNK = 1_000_000
 CACHED = 1 << 16
-FILTER_BITS = 27
+#: Numbers in a tile of a group's matrix.
+TILE = 1 << 23
+FILTER_BITS = 25
 _rng = np.random.default_rng(20240501)
 FACTORS = _rng.integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 FLIPS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -109,72 +110,109 @@ def bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield np.array([0, len(held[0])]), *held
 
 
-def pairs_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    x, y = np.concatenate(a), np.concatenate(b)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-
-def proposals_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, h) to pairs (a, b), and to (key, h) with null b for the members of buckets of four or more."""
-    for bounds, key, h in bucket_runs(batches):
-        a, b, large = [], [], []
+def groups_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, h) to (group, h) for the buckets of two and more lines; a group is named after its members, so that equal buckets of several bands are one group."""
+    for bounds, _, h in bucket_runs(batches):
+        groups, members = [], []
         size = np.diff(bounds)
         for s, n in zip(bounds[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
             own = np.unique(h[s : s + n])
-            if len(own) < 2:
-                continue
-            # Each bucket has an order of its own.
-            own = own[np.argsort((own ^ key[s]).view(np.uint64) * STEP)]
-            a += [np.full(len(own) - 1, own[0]), own[1:-1]]
-            b += [own[1:], own[2:]]
-            if len(own) > 3:
-                large.append((np.full(len(own), key[s]), own))
-        if a:
-            batch = pairs_batch(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array([True] * batch.num_rows), *batch.columns], names=["pair", "a", "b"])
-        if large:
-            k, x = (np.concatenate(c) for c in zip(*large, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([False] * len(k)), pa.array(k), pa.array(x)], names=["pair", "a", "b"])
-
-
-def across_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, h, component) to the pairs of each bucket whose components differ."""
-    for bounds, _, h, component in bucket_runs(batches):
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            c = component[s:e]
-            for k in range(e - s - 1):
-                other = np.flatnonzero(c[k + 1 :] != c[k]) + s + k + 1
-                if len(other):
-                    yield pairs_batch([np.full(len(other), h[s + k])], [h[other]])
-
-
-def shingle_set(line: str) -> set[str]:
-    line = line.lower()
-    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
-
-
-def verify_task(threshold: float):
+            if len(own) > 1:
+                name = np.frombuffer(xxhash.xxh64(own.tobytes(), SEED).digest(), dtype=">i8")[0]
+                groups.append(np.full(len(own), name, dtype=np.int64))
+                members.append(own)
+        if groups:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(members))], names=["group", "h"])
+
+
+def shingles(lines: list[str]) -> list[np.ndarray]:
+    """Each line's distinct shingles as sorted 64-bit hashes."""
+    cp, starts = code_points([x.lower() for x in lines])
+    cp = cp.astype(np.uint64)
+    n = len(cp) - SHINGLE + 1
+    h = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            h = h * STEP + cp[k : n + k]
+        h ^= h >> np.uint64(29)
+        h *= STEP
+    return [np.unique(h[a : b - SHINGLE]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+
+def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sets of shingles is at least the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < threshold * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return both >= threshold * (len(x) + len(y) - both)
+
+
+def group_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Labels of a group's lines that exact Jaccard similarities link; sizes of intersections come from products of 0/1 matrices, a pair of tiles at a time."""
+    labels, sizes = Labels(len(sets)), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle of one line is in no intersection.
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[place]
+    owner, column = owner[keep], column[place[keep]]
+    width = int(shared.sum())
+    step = max(16, TILE // max(1, width))
+    bounds = np.searchsorted(owner, np.arange(0, len(sets) + step, step))
+
+    def tile(k: int) -> np.ndarray:
+        rows = slice(bounds[k], bounds[k + 1])
+        out = np.zeros((min(step, len(sets) - k * step), width), dtype=np.float32)
+        out[owner[rows] - k * step, column[rows]] = 1
+        return out
+
+    for a in range(len(bounds) - 1):
+        first = tile(a)
+        for b in range(a, len(bounds) - 1):
+            both = (first @ (first if a == b else tile(b)).T).astype(np.float64)
+            n, m = sizes[a * step : a * step + both.shape[0], None], sizes[None, b * step : b * step + both.shape[1]]
+            near = both >= np.maximum(threshold * (n + m - both), 1)
+            for i in np.flatnonzero(near.any(1)).tolist():
+                labels.link(np.append(np.flatnonzero(near[i]) + b * step, i + a * step))
+    return labels.of
+
+
+def links_task(threshold: float):
+    """Sorted (group, h, line) to links (a, b) of hashes that connect the similar lines of each group."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, own = x, shingle_set(x)
-                other = shingle_set(y)
-                both = len(own & other)
-                good.append(both >= threshold * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for bounds, _, h, text in bucket_runs(batches):
+            distinct, at = np.unique(h, return_index=True)
+            sets: dict[int, np.ndarray] = {}
+            for a, b in runs([len(text[i]) for i in at.tolist()], CHUNK):
+                sets.update(zip(distinct[a:b].tolist(), shingles([text[i] for i in at[a:b].tolist()]), strict=True))
+            links = []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = h[s:e].tolist()
+                if e - s == 2:
+                    if similar(sets[own[0]], sets[own[1]], threshold):
+                        links.append(own)
+                else:
+                    of = group_links([sets[x] for x in own], threshold)
+                    links += [(own[i], own[of[i]]) for i in np.flatnonzero(of != np.arange(e - s)).tolist()]
+            if links:
+                x, y = np.array(links, dtype=np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     return task
 
 
 def membership(hashes: DataFrame, column: str) -> np.ndarray:
-    """A filter of 2**FILTER_BITS bits over a column of hashes, in bytes: 16 MB whatever the number of hashes. A set bit says maybe, a clear one no."""
+    """A filter of 2**FILTER_BITS bits over a column of hashes, in bytes: 4 MB whatever the number of hashes. A set bit says maybe, a clear one no."""
     place = F.pmod(F.col(column), F.lit(1 << FILTER_BITS)).cast("long")
     rows = hashes.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros((1 << FILTER_BITS) // 8 + (1 << 12) * 2, dtype=np.uint8)
-    for r in rows.toLocalIterator():  # at most 4097 rows of 4 kB
+    for r in rows.toLocalIterator():  # at most 1025 rows of 4 kB
         # Bucket n holds the values 32768 * (n - 1) + 1 to 32768 * n; bit 0 is the first of them.
         at = ((r["bucket"] - 1) * 32768 + 32768) // 8
         out[at : at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
@@ -205,30 +243,13 @@ def texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return docs.select(text_col).mapInArrow(task, "h long, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose lines are similar enough."""
-    first = lines.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
-    second = lines.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "line_a", "line_b").mapInArrow(verify_task(threshold), "a long, b long")
-
-
 def similar_lines(docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
     """(node, component) of the hashes of lines that are similar to another, not equal one."""
     bands = docs.select(text_col).mapInArrow(bands_task, "key long, h long")
-    proposed = cut(bands.repartition("key").sortWithinPartitions("key").mapInArrow(proposals_task, "pair boolean, a long, b long"))
-    pairs = proposed.where("pair").select("a", "b").distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(proposed.where("not pair").select(F.col("b").alias("h"))).distinct()
-    lines = cut(texts_of(docs, text_col, wanted))
-    links = cut(verified(pairs, lines, threshold))
-    found = connected_components(links)
-    buckets = proposed.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("h"))
-    open_buckets = cut(buckets.join(found, buckets["h"] == found["node"], "left").select("key", "h", F.coalesce("component", "h").alias("component")))
-    several = open_buckets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    across = open_buckets.join(several, "key").repartition("key").sortWithinPartitions("key").mapInArrow(across_task, "a long, b long").distinct()
-    more = cut(verified(across.join(pairs, ["a", "b"], "left_anti"), lines, threshold))
-    if more.isEmpty():
-        return found
-    return connected_components(links.unionByName(more))
+    groups = cut(bands.repartition("key").sortWithinPartitions("key").mapInArrow(groups_task, "group long, h long").distinct())
+    lines = texts_of(docs, text_col, groups.select("h").distinct())
+    rows = groups.join(lines, "h").select("group", "h", "line").repartition("group").sortWithinPartitions("group")
+    return connected_components(rows.mapInArrow(links_task(threshold), "a long, b long"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,13 +264,14 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     empty table gives no rows.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__id").isNotNull())
-    place = own.select("__id", F.posexplode(F.split("__text", "\n", -1)).alias("__no", "__line")).where(F.trim(F.regexp_replace("__line", r"\s+", " ")) != "").select(F.xxhash64("__line").alias("h"), F.struct("__id", "__no").alias("at"))
+    # A line with any character that is not white space; the tests for it and for equality are the same as in the tasks above.
+    place = cut(own.select("__id", F.posexplode(F.split("__text", "\n", -1)).alias("__no", "__line")).where(F.regexp_like("__line", F.lit(r"(?U)\S"))).select("__id", "__no", F.xxhash64("__line").alias("h")))
     found = similar_lines(own, "__text", threshold)
-    heads = place.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    heads = place.groupBy("h").agg(F.min(F.struct("__id", "__no")).alias("first"), F.count("*").alias("n"))
     heads = heads.join(found, heads["h"] == found["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("component"))
     groups = heads.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1")
     repeated = cut(heads.select("h", "component").join(groups, "component").select("h", "keeper"))
-    gone = place.join(repeated, "h").where(F.col("at") != F.col("keeper")).select(F.col("at.__id").alias("__id"), F.col("at.__no").alias("no")).groupBy("__id").agg(F.collect_set("no").alias("__gone"))
+    gone = place.join(repeated, "h").where(F.struct("__id", "__no") != F.col("keeper")).groupBy("__id").agg(F.collect_set("__no").alias("__gone"))
     lines = F.split(F.col(text_col), "\n", -1)
     left = docs.join(gone, docs[id_col] == gone["__id"], "left")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
