@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -12,6 +13,13 @@ from pyspark.sql import functions as F
 from voxmeter.constants import CHURN_HIGH, CHURN_MEDIUM, ENTITIES, LEXICON_NEGATIVE, LEXICON_POSITIVE, MAX_COMMENT, MOJIBAKE, NPS_NEGATIVE, NPS_POSITIVE, PROMPT_TOKENS, SPANISH_INDICATORS
 
 LETTERS = "a-zA-ZáéíóúÁÉÍÓÚñÑ"
+#: White space as Python's strip() and \\s have it.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -19,7 +27,7 @@ def replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -33,15 +41,17 @@ def count_of(c: Column, words: list[str]) -> Column:
 
 def clean_comment(c: Column, max_length: int = MAX_COMMENT) -> Column:
     """Trimmed, single-spaced, without odd symbols, cut at a word near ``max_length`` with '...'; null gives ''."""
-    t = F.regexp_replace(F.regexp_replace(strip(c), r"(?U)\s+", " "), r"[^\p{L}\p{N}_\s.,!?¿¡()-]", "")
-    head = F.substring(t, 1, max_length)
-    cut = F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)).otherwise(head)
-    return F.coalesce(F.when(F.length(t) > max_length, F.concat(cut, F.lit("..."))).otherwise(t), F.lit(""))
+    t = F.regexp_replace(normalize_space(strip(c)), r"[^a-zA-Z0-9 _.,!?¿¡()\-\p{L}\p{N}]+", "")
+    at_word = lambda head: F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)).otherwise(head)
+    return let(t, lambda x: F.coalesce(F.when(F.length(x) > max_length, F.concat(let(F.substring(x, 1, max_length), at_word), F.lit("..."))).otherwise(x), F.lit("")))
 
 
 def nps_parse(c: Column) -> Column:
     """NPS in a text: a number from 0 to 10, a share of a known scale, or a word; else null."""
-    v = F.lower(strip(c))
+    return let(F.lower(strip(c)), _nps_of)
+
+
+def _nps_of(v: Column) -> Column:
     number = lambda pattern: F.nullif(F.regexp_extract(v, pattern, 1), F.lit("")).try_cast("double")
     within = lambda x: F.when((x >= 0) & (x <= 10), x)
     ten = F.lit(10.0)
@@ -62,7 +72,7 @@ def to_number(c: Column) -> Column:
 
 
 def valid_comment(c: Column, least: int = 5) -> Column:
-    return (F.length(c) >= least) & (strip(c) != "") & F.regexp_like(c, F.lit(f"[{LETTERS}]"))
+    return let(c, lambda x: (F.length(x) >= least) & (strip(x) != "") & F.regexp_like(x, F.lit(f"[{LETTERS}]")))
 
 
 def fix_encoding(c: Column) -> Column:
@@ -90,7 +100,7 @@ def without_accents(c: Column) -> Column:
 
 
 def normalize_space(c: Column) -> Column:
-    return F.translate(F.regexp_replace(c, r"(?U)\s+", " "), "\u00a0\u2009\u200a\u2007\u2008", "     ")
+    return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
 def fix_punctuation(c: Column) -> Column:
@@ -151,19 +161,17 @@ def batch_tokens(tokens: Column, prompt: int = PROMPT_TOKENS) -> Column:
 
 
 def churn_keywords(c: Column) -> Column:
-    v = F.lower(F.coalesce(c, F.lit("")))
-    return F.least(F.lit(1.0), count_of(v, CHURN_HIGH) * 0.3 + count_of(v, CHURN_MEDIUM) * 0.1)
+    return let(F.lower(F.coalesce(c, F.lit(""))), lambda v: F.least(F.lit(1.0), count_of(v, CHURN_HIGH) * 0.3 + count_of(v, CHURN_MEDIUM) * 0.1))
 
 
 def is_spanish(c: Column) -> Column:
-    return count_of(F.lower(c), SPANISH_INDICATORS) >= 2
+    return let(F.lower(c), lambda v: count_of(v, SPANISH_INDICATORS) >= 2)
 
 
 def lexicon_sentiment(c: Column) -> Column:
-    v = F.lower(c)
-    good, bad = contains_any(v, LEXICON_POSITIVE), contains_any(v, LEXICON_NEGATIVE)
-    return F.when(good & ~bad, "positive").when(bad & ~good, "negative").otherwise("neutral")
+    mood = lambda good, bad: F.when(good & ~bad, "positive").when(bad & ~good, "negative").otherwise("neutral")
+    return let(F.lower(c), lambda v: mood(contains_any(v, LEXICON_POSITIVE), contains_any(v, LEXICON_NEGATIVE)))
 
 
 def has_negative_word(c: Column) -> Column:
-    return F.coalesce(contains_any(F.lower(c), LEXICON_NEGATIVE), F.lit(False))
+    return F.coalesce(let(F.lower(c), lambda v: contains_any(v, LEXICON_NEGATIVE)), F.lit(False))

@@ -90,15 +90,16 @@ def churn_headlines(df: DataFrame, c: str = "churn_risk", high: float = 0.7) ->
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of each pair over the rows that have both; null for constants; in one pass."""
-    pairs = list(combinations(columns, 2))
-
-    def r(a: str, b: str) -> Column:
-        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-    one = df.agg(*[r(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs])))
+    """Pearson correlation of each pair over the rows that have both; null for constants and empty pairs.
+
+    A row gives one record per pair, which its task sums up before the shuffle.
+    """
+    pairs = [(i, a, b) for i, (a, b) in enumerate(combinations(columns, 2))]
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a, b in pairs])))
+    both = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    got = both.groupBy("i").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
+    names = df.sparkSession.createDataFrame(pairs, "i int, a string, b string")
+    return names.join(got, "i", "left").select("a", "b", "r")
 
 
 def exploded_points(df: DataFrame, points: str = "pain_points", key: str = "comment_id") -> DataFrame:
