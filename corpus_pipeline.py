@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmeter.llm import decontam, langid, lines, packing, simhash
+from voxmeter.llm import decontam, langid, lines, packing, shingles, simhash
 from voxmeter.llm.common import checkpoint_dir, table
+from voxmeter.llm.components import connected_components
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates by five-word SimHash."""
-    copies = simhash.near_duplicates(docs, n_words=5, radius=3).where("doc_id != component_id").select("doc_id").distinct()
+    """One document, the one with the smallest id, of each group of near duplicates: five-word shingles with a Jaccard similarity of 0.8 or more, or a SimHash within three bits."""
+    near = simhash.near_duplicates(docs, n_words=5, radius=3).where("doc_id != component_id").select("doc_id", "component_id")
+    links = shingles.similar_texts(docs, n_words=5, threshold=0.8).unionByName(near.toDF("a", "b"))
+    copies = connected_components(links).where("node != component").select(F.col("node").alias("doc_id")).distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

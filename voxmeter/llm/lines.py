@@ -56,16 +56,20 @@ def signatures(lines: list[str]) -> np.ndarray:
     for k in range(SHINGLE):
         inside[starts[1:] - 1 - k] = False
     shingles = h.astype(np.uint32)[inside[:n]]
-    counts = np.diff(starts) - SHINGLE
-    out = np.empty((BANDS * ROWS, len(lines)), dtype=np.uint32)
+    return least(shingles, np.diff(starts) - SHINGLE, FLIPS, FACTORS)
+
+
+def least(shingles: np.ndarray, counts: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """For each permutation and each run of ``counts`` shingles the least permuted one; no run is empty."""
+    out = np.empty((len(flips), len(counts)), dtype=np.uint32)
     for a, b in runs(counts.tolist(), CACHED):  # a part stays in the processor's cache for all permutations
         at = np.cumsum(counts[a:b]) - counts[a:b]
         first = int(counts[:a].sum())
         part = shingles[first : first + int(counts[a:b].sum())]
         room = np.empty_like(part)
-        for j in range(BANDS * ROWS):
-            np.bitwise_xor(part, FLIPS[j], out=room)
-            np.multiply(room, FACTORS[j], out=room)
+        for j in range(len(flips)):
+            np.bitwise_xor(part, flips[j], out=room)
+            np.multiply(room, factors[j], out=room)
             out[j, a:b] = np.minimum.reduceat(room, at)
     return out
 
@@ -73,7 +77,7 @@ def signatures(lines: list[str]) -> np.ndarray:
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key per band and line, bands having keys of their own."""
     with np.errstate(over="ignore"):
-        key = np.arange(BANDS, dtype=np.uint64)[:, None] * np.ones(sig.shape[1], dtype=np.uint64)
+        key = np.arange(len(sig) // ROWS, dtype=np.uint64)[:, None] * np.ones(sig.shape[1], dtype=np.uint64)
         for r in range(ROWS):
             key = (key * STEP) ^ sig[r::ROWS]
             key ^= key >> np.uint64(31)
@@ -182,15 +186,17 @@ def group_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return labels.of
 
 
-def links_task(threshold: float):
-    """Sorted (group, h, line) to links (a, b) of hashes that connect the similar lines of each group."""
+def sets_of_lines(text: list[str]) -> list[np.ndarray]:
+    return [x for a, b in runs([len(x) for x in text], CHUNK) for x in shingles(text[a:b])]
+
+
+def links_task(threshold: float, sets_of=sets_of_lines):
+    """Sorted (group, h, line) to links (a, b) of hashes that connect the similar lines of each group; ``sets_of`` reads the third column."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bounds, _, h, text in bucket_runs(batches):
+        for bounds, _, h, value in bucket_runs(batches):
             distinct, at = np.unique(h, return_index=True)
-            sets: dict[int, np.ndarray] = {}
-            for a, b in runs([len(text[i]) for i in at.tolist()], CHUNK):
-                sets.update(zip(distinct[a:b].tolist(), shingles([text[i] for i in at[a:b].tolist()]), strict=True))
+            sets = dict(zip(distinct.tolist(), sets_of([value[i] for i in at.tolist()]), strict=True))
             links = []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = h[s:e].tolist()
