@@ -24,8 +24,6 @@ from voxmeter.llm.components import Labels, connected_components
 FIT_ROWS = 20_000
 MAX_CELLS = 4096
 BLOCK = 2048
-#: Nearness of a border, in standard deviations of a random step of the threshold's size along one direction.
-REACH = 2.0
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -170,8 +168,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     x = unit(matrix(sample, dim))
     k = max(1, min(MAX_CELLS, len(x) // 4, round(n**0.5 / 2)))
     centroids = spherical_kmeans(x, k)
-    step = float(np.sqrt(max(0.0, 1 - threshold**2)))
-    reach = min(step, REACH * step / dim**0.5)
+    # Of two linked vectors with two homes, on both sides of the border, one is at most half their distance from it.
+    reach = float(np.sqrt(max(0.0, (1 - threshold) / 2))) + 1e-9
     shared = spark.sparkContext.broadcast(centroids)
     placed = own.mapInArrow(cells_task(shared, dim, reach), "cell int, home int, rep long, copies long, vec array<double>")
     # At most MAX_CELLS rows.
