@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, special="byte_bpe_50k.json")
 
 
 STAGES = [("language id", language), ("line dedup", line_dedup), ("simhash dedup", simhash_dedup), ("decontamination", decontaminate), ("packing", pack)]

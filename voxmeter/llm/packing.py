@@ -46,22 +46,31 @@ class TokenCache(dict):
 
 
 class ByteBpe:
-    """Ids of the byte-level BPE vocabulary, special strings being ordinary text.
+    """Ids of the byte-level BPE vocabulary. Texts with one of ``special``'s added tokens are encoded by that tokenizer; without it such strings are ordinary text.
 
     The rank file holds the same vocabulary as ``byte_bpe_50k.json`` and gives the same
     ids (tested). A single space between two non-spaces always starts a new pre-token,
     so words are encoded once and looked up afterwards.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: str | None = None):
         import tiktoken
 
+        self.whole, self.added = None, None
+        if special:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(special)
+            self.added = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.first, self.next = TokenCache(self.encode, ""), TokenCache(self.encode, " ")
 
     def ids(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if AWKWARD.search(text):
             return np.array(self.encode(text), dtype="<u4").tobytes()
         words = text.split(" ")
@@ -129,14 +138,15 @@ class Packer:
             self.emit(window)
 
 
-def pack(docs: DataFrame, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_tokens: int = 8192, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pack(docs: DataFrame, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_tokens: int = 8192, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", special: str | None = None) -> DataFrame:
     """Packs every document into windows of at most ``tiers[0]`` tokens.
 
     Null and empty texts are one end token; repeated rows are packed each on their own;
     a text of any length is cut into full windows and one remainder; other columns are
     not used; an empty table gives no rows. ``tiers`` are powers of two, longest first.
     Every window but a partition's last few is full at its tier; those last ones have
-    power-of-two lengths too, so no window needs padding.
+    power-of-two lengths too, so no window needs padding. ``special`` names the tokenizer file
+    whose added tokens get their own ids; without it their strings are ordinary text.
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers), reverse=True):
         raise ValueError("tiers must be distinct powers of two, longest first")
@@ -144,7 +154,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_t
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        bpe = ByteBpe(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+        bpe = ByteBpe(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, special and public_tokenizers.path(special))
         packer, end = Packer(TaskContext.get().partitionId(), tiers, step_tokens), np.array([end_id], dtype="<u4").tobytes()
 
         def out() -> pa.RecordBatch:

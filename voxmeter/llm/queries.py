@@ -20,7 +20,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), special="byte_bpe_50k.json")
 
 
 @query
