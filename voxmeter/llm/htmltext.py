@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\b(?:hidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 # The HTML elements by their kind.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -29,6 +29,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 P_ENDS = {"address", "article", "aside", "blockquote", "center", "dir", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "td", "th", "article", "main", "section", "div"}
 ROOTS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words in a class, id or role that name something other than main text.
 BOILER = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adv|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|copyright|legal|disclaimer|form|search|complementary|contentinfo|tags?)(?=$|[\s_-])", re.I)
 
@@ -38,7 +39,13 @@ def boiler(name: str, attributes: str) -> bool:
         return True
     if not attributes or name in ("body", "html", "article", "main"):
         return False
-    return any(BOILER.search(b or c or d or "") for _, b, c, d in ATTRIBUTE.findall(attributes)) or bool(HIDDEN.search(attributes))
+    for key, *values in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key in ("class", "id", "role") and BOILER.search(value):
+            return True
+        if key == "hidden" and value.lower() != "false" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and NOT_SHOWN.search(value):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]:
@@ -164,7 +171,14 @@ def content(found: list[tuple]) -> list[str]:
     total = sum(len(b[2]) for b in found if b[0] in chosen)
     holder = max((k for k, w in weight.items() if w >= 0.9 * total), key=depth.__getitem__, default=None)
     rooted = found is inside
-    return [text for path, numbers, text, linked in found if path in chosen or (rooted or holder in numbers) and linked < 0.5 * len(text) and (not path or path[-1] in PROSE)]
+
+    def within(path: tuple[str, ...], numbers: tuple[int, ...], text: str, linked: int) -> bool:
+        """In the element of the main text, links and all. The whole page's body is no such element: there blocks of links but for headings stay out."""
+        if path and path[-1] not in PROSE or not (rooted or holder in numbers):
+            return False
+        return rooted or path[depth[holder]] not in ("html", "body") or path[-1] in HEADINGS or linked < 0.5 * len(text)
+
+    return [b[2] for b in found if b[0] in chosen or within(*b)]
 
 
 def main_text(page: str | None) -> str:
