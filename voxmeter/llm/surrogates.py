@@ -31,6 +31,8 @@ GIVEN = {
     "f": ["Alba", "Bianca", "Clara", "Daria", "Elena", "Flora", "Greta", "Hanna", "Irene", "Julia", "Karla", "Lucia", "Marta", "Nora", "Olga", "Paula"],
 }
 SYLLABLES = {"latin": ["ba", "den", "fi", "gor", "han", "jo", "kel", "lin", "mar", "nov", "pe", "ros", "sil", "tan", "ver", "wil"], "cyrillic": ["ба", "ден", "фи", "гор", "хан", "жо", "кел", "лин", "мар", "нов", "пе", "рос", "сил", "тан", "вер", "вил"]}
+#: Turns after which a format counts as exhausted: each further turn adds a character to the stand-in.
+WIDER = 3
 WORD = r"[^\W\d_]"
 NAME = rf"{WORD}[\w'’-]*"
 PATTERNS = {
@@ -136,11 +138,11 @@ def luhn(digits: str) -> int:
 
 def surrogate(kind: str, entity: str, key: bytes = KEY, turn: int = 0) -> str:
     """The stand-in for an entity in its canonical spelling; ``turn`` is raised after a clash."""
-    tweak = f"{kind} {turn}"
+    tweak, wide = f"{kind} {turn}", "0" * max(0, turn - WIDER)
     if kind == "email":
         local, _, domain = entity.partition("@")
         name, _, top = domain.rpartition(".")
-        return f"{shuffled(local, key, tweak)}@{shuffled(name, key, 'domain')}.{top}"
+        return f"{shuffled(local + wide, key, tweak)}@{shuffled(name, key, 'domain')}.{top}"
     if kind == "ip":
         x = int.from_bytes(bytes(map(int, entity.split("."))))
         while True:
@@ -148,23 +150,23 @@ def surrogate(kind: str, entity: str, key: bytes = KEY, turn: int = 0) -> str:
             if 1 <= x >> 24 <= 223 and x >> 24 != 127:
                 return ".".join(map(str, x.to_bytes(4)))
     if kind == "phone":
-        return shuffled(entity, key, tweak, fixed=2 if entity.startswith("+") else 0)
+        return shuffled(entity + wide, key, tweak, fixed=2 if entity.startswith("+") else 0)
     if kind == "card":
         # The rest modulo ten stays, so a valid number gives a valid one.
-        body = shuffled(entity[:-1], key, tweak, fixed=1)
+        body = shuffled(entity[:-1] + wide, key, tweak, fixed=1)
         return body + str((luhn(entity) - luhn(body + "0")) % 10)
     if kind == "iban":
-        return shuffled(entity, key, tweak, fixed=2)
+        return shuffled(entity + wide, key, tweak, fixed=2)
     if kind == "key":
-        return shuffled(entity, key, tweak, fixed=4)
+        return shuffled(entity + wide, key, tweak, fixed=4)
     if kind == "secret":
-        return shuffled(entity, key, tweak, alphabet="0123456789abcdef" if re.fullmatch("[0-9a-f]+", entity) else None)
+        return shuffled(entity + wide, key, tweak, alphabet="0123456789abcdef" if re.fullmatch("[0-9a-f]+", entity) else None)
     if kind == "ssn":
-        return shuffled(entity, key, tweak)
+        return shuffled(entity + wide, key, tweak)
     x = draw(key, tweak, entity)
     cyrillic = bool(re.search("[а-яё]", entity))
     if kind.startswith("given") and not cyrillic and x % 16 != 15:
-        return GIVEN[kind[-1]][x // 16 % len(GIVEN[kind[-1]])].lower() if turn == 0 else GIVEN[kind[-1]][x // 16 % 16].lower() + SYLLABLES["latin"][x // 256 % 16]
+        return GIVEN[kind[-1]][x // 16 % 16].lower() + "".join(SYLLABLES["latin"][x >> (8 + 4 * k) & 15] for k in range(turn))
     parts = SYLLABLES["cyrillic" if cyrillic else "latin"]
     ending = {"given-m": "о" if cyrillic else "o", "given-f": "а" if cyrillic else "a"}.get(kind, "")
     return "".join(parts[x >> (8 + 4 * k) & 15] for k in range(3 + turn)) + ending
@@ -174,7 +176,7 @@ def spelled(kind: str, original: str, stand_in: str) -> str:
     """The surrogate in the original's spelling: its punctuation, its case."""
     if kind in ("phone", "card", "iban", "ssn"):
         rest = iter(stand_in)
-        return "".join(c if c in " .()-" else next(rest) for c in original)
+        return "".join([*(c if c in " .()-" else next(rest) for c in original), *rest])
     if kind == "email":
         return stand_in.upper() if original.isupper() else stand_in
     if kind == "family" or kind.startswith("given"):
@@ -201,14 +203,13 @@ def assign_task(key: bytes):
 
 
 def assigned(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, turn, stand_in): no two entities of a kind share a stand-in, and no stand-in is an entity that was found. Given names may be shared by persons: they are few in life too."""
+    """(kind, entity, turn, stand_in): no two entities of a kind share a stand-in, and no stand-in is an entity that was found. Stand-ins of an exhausted format are longer."""
     rows = cut(found.select("kind", "entity").distinct().withColumn("turn", F.lit(0)).mapInArrow(assign_task(key), "kind string, entity string, turn int, stand_in string"))
     for _ in range(64):
-        own = rows.where(~F.startswith("kind", F.lit("given")))
-        taken = own.groupBy("kind", "stand_in").agg(F.min("entity").alias("owner"), F.count("*").alias("n"))
-        real = own.select("kind", F.col("entity").alias("stand_in")).withColumn("real", F.lit(True))
+        taken = rows.groupBy("kind", "stand_in").agg(F.min("entity").alias("owner"), F.count("*").alias("n"))
+        real = rows.select("kind", F.col("entity").alias("stand_in")).withColumn("real", F.lit(True))
         bad = taken.join(real, ["kind", "stand_in"], "left").where((F.col("n") > 1) | F.col("real")).select("kind", "stand_in", F.when(F.col("real"), None).otherwise(F.col("owner")).alias("owner"))
-        clash = cut(own.join(bad, ["kind", "stand_in"]).where(F.col("owner").isNull() | (F.col("entity") != F.col("owner"))).select("kind", "entity", "turn"))
+        clash = cut(rows.join(bad, ["kind", "stand_in"]).where(F.col("owner").isNull() | (F.col("entity") != F.col("owner"))).select("kind", "entity", "turn"))
         if clash.isEmpty():
             return rows
         again = clash.withColumn("turn", F.col("turn") + 1).mapInArrow(assign_task(key), "kind string, entity string, turn int, stand_in string")
