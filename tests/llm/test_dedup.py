@@ -57,7 +57,26 @@ def test_tree_links_are_all_links():
     flips = np.uint64(1) << rng.integers(0, 12, (300, 3), dtype=np.uint64)
     values = np.unique(base[rng.integers(0, 6, 300)] ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2])
     links = [(i, j) for i in range(len(values)) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 2]
-    assert simhash.tree_links(values, 2).tolist() == union(len(values), links)
+    found = simhash.Trees(values, np.zeros(len(values), dtype=np.int64)).links(2, len(values))
+    assert union(len(values), zip(*found, strict=True)) == union(len(values), links)
+    # Every child hangs on its parent by their distance, and every value but the root hangs once.
+    tree = simhash.Trees(values, np.zeros(len(values), dtype=np.int64))
+    parent, edge = np.divmod(tree.edge, 65)
+    assert sorted(tree.child.tolist()) == list(range(1, len(values)))
+    assert np.array_equal(np.bitwise_count(values[tree.child] ^ values[parent]), edge)
+
+
+@pytest.mark.parametrize("limit, radius", [(10, 1), (20, 2), (20, 3), (4096, 2)])
+def test_large_shards_are_dealt_again(spark, limit, radius):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 5, dtype=np.uint64)
+    # Families around five values, all of which share their upper bits with many.
+    flips = np.uint64(1) << rng.integers(0, 40, (250, 2), dtype=np.uint64)
+    values = np.unique((base[rng.integers(0, 5, 250)] & np.uint64(0xFFFFFFFFFF)) ^ flips[:, 0] ^ flips[:, 1])
+    links = [(i, j) for i in range(len(values)) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= radius]
+    df = spark.createDataFrame([(int(v), i) for i, v in enumerate(values.view(np.int64))], "fp long, rep long")
+    got = simhash.tree_links(df, radius, limit).collect()
+    assert union(len(values), [(r.a, r.b) for r in got]) == union(len(values), links)
 
 
 def test_simhash(spark, docs_of):
