@@ -137,7 +137,8 @@ def plain_lines(texts, threshold=0.8):
     return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if not x.strip() or first[of[x]] == (d, i)) for d, t in enumerate(texts)]
 
 
-def test_lines(spark, docs_of):
+@pytest.mark.parametrize("limit", [6, 1024])
+def test_lines(spark, docs_of, limit):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
     pool = [" ".join(word() for _ in range(rng.randrange(1, 40))) for _ in range(60)]
@@ -148,7 +149,7 @@ def test_lines(spark, docs_of):
         family.append(" ".join(parts))
     texts = ["\n".join(rng.choice(pool + family + ["", "  ", "x", "short"]) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
     texts += [None, "", "\n\n", pool[3].upper(), "y" * 20_000, "y" * 20_001]
-    got = {r.doc_id: r for r in lines.dedup_lines(docs_of(texts)).collect()}
+    got = {r.doc_id: r for r in lines.dedup_lines(docs_of(texts), limit=limit).collect()}
     want = plain_lines(texts)
     assert [got[i].text for i in range(len(texts))] == want
     assert got[len(texts) - 6].n_lines == 0 and got[0].node == "x"
@@ -159,3 +160,21 @@ def test_lines_of_nothing(spark, docs_of):
     assert lines.dedup_lines(docs_of(["a"]).limit(0)).count() == 0
     df = spark.createDataFrame([(None, "same line here"), (2, "same line here"), (3, "same line here")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in lines.dedup_lines(df).collect()) == [("2", "same line here"), ("3", ""), ("None", "same line here")]
+
+
+def test_a_text_of_many_equal_lines(spark, docs_of):
+    """The rebuilt text takes time in proportion to its lines."""
+    rows = lines.dedup_lines(docs_of(["same line of text\n" * 200_000 + "last one", "\n".join(f"{i} lines" for i in range(20))])).orderBy("doc_id").collect()
+    assert rows[0].text == "same line of text\nlast one" and rows[0].n_removed == 199_999
+
+
+def test_hot_groups_are_split(spark):
+    """What one task gets of a bucket of similar lines is bounded, and lines that differ from the pivot are compared with all."""
+    bands = spark.createDataFrame([(1, h) for h in range(3000)] + [(2, 5), (2, 6)], "key long, h long").repartition(3)
+    rows = bands.repartition("key").sortWithinPartitions("key").mapInArrow(lines.groups_task(100), "group long, h long, pivot long").distinct().toPandas()
+    large, small = rows[rows["pivot"].notna()], rows[rows["pivot"].isna()]
+    assert sorted(large["h"]) == list(range(3000)) and large["pivot"].nunique() == 1 and sorted(small["h"]) == [5, 6]
+    # Ten similar families in one bucket: all but one of them differ from the pivot.
+    values = spark.createDataFrame([(h, [1000 * (h % 10) + k for k in range(50)] + [10**6 + h]) for h in range(600)], "h long, value array<long>")
+    links = lines.bucket_links(bands.where("h < 600"), lambda wanted: values.join(wanted, "h", "left_semi"), 0.8, lambda v: [np.array(x) for x in v], limit=50).collect()
+    assert union(600, [(r.a, r.b) for r in links]) == [h % 10 for h in range(600)]

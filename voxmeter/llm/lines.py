@@ -5,11 +5,16 @@ character shingles; bands of a signature deal them into buckets, and buckets of
 bands with the same lines are one group. A task compares the whole lines of a group by
 exact Jaccard similarity and sends on only the links that connect the similar ones;
 links become components. Of each component the first line is kept.
+
+A bucket of over ``LIMIT`` lines goes another way: its lines are dealt out and each is
+compared with one of them, the pivot. Lines linked to it are connected; only those that are
+not are compared with the whole bucket, in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmeter.llm.common import code_points, cut, runs
-from voxmeter.llm.components import Labels, connected_components
+from voxmeter.llm.components import Labels, connected_components, other_key
 
 SHINGLE = 7
 BANDS, ROWS = 12, 4
@@ -29,6 +34,10 @@ CACHED = 1 << 16
 #: Numbers in a tile of a group's matrix.
 TILE = 1 << 23
 FILTER_BITS = 25
+#: Lines of a group that one task compares.
+LIMIT = 1024
+#: Hashes of lines that a task remembers to have sent on.
+SEEN = 1 << 20
 _rng = np.random.default_rng(20240501)
 FACTORS = _rng.integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 FLIPS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -85,13 +94,17 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def bands_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (key, h): the band keys of every line that is distinct within its batch and long enough to be similar but not equal to another."""
+    """Texts to (key, h): the band keys of every line that is long enough to be similar but not equal to another, repeated ones mostly once a task."""
+    seen: set[int] = set()
     for batch in batches:
         distinct: dict[int, str] = {}
         for text in batch.column(0):
             for line in (text.as_py() or "").split("\n"):
-                if len(line) >= SHINGLE and not line.isspace():
-                    distinct.setdefault(line_hash(line), line)
+                if len(line) >= SHINGLE and not line.isspace() and (k := line_hash(line)) not in seen:
+                    distinct.setdefault(k, line)
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(distinct)
         h, lines = list(distinct), [x.lower() for x in distinct.values()]
         for a, b in runs([len(x) for x in lines], CHUNK):
             keys = band_keys(signatures(lines[a:b]))
@@ -114,19 +127,54 @@ def bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield np.array([0, len(held[0])]), *held
 
 
-def groups_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, h) to (group, h) for the buckets of two and more lines; a group is named after its members, so that equal buckets of several bands are one group."""
-    for bounds, _, h in bucket_runs(batches):
-        groups, members = [], []
-        size = np.diff(bounds)
-        for s, n in zip(bounds[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            own = np.unique(h[s : s + n])
-            if len(own) > 1:
-                name = np.frombuffer(xxhash.xxh64(own.tobytes(), SEED).digest(), dtype=">i8")[0]
-                groups.append(np.full(len(own), name, dtype=np.int64))
-                members.append(own)
-        if groups:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(members))], names=["group", "h"])
+def groups_task(limit: int):
+    """Sorted (key, h) to (group, h, pivot) for the buckets of two and more lines.
+
+    A group is named after its members, so that equal buckets of several bands are one
+    group. The lines of a bucket of over ``limit`` are sent on as they come, with one of them
+    as their pivot and the key as their group; no more than that many are held.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held, pivot = None, np.zeros(0, dtype=np.int64), None
+        out: list[tuple] = []
+
+        def done() -> None:
+            if pivot is None and len(held) > 1:
+                name = np.frombuffer(xxhash.xxh64(held.tobytes(), SEED).digest(), dtype=">i8")[0]
+                out.append((np.full(len(held), name, dtype=np.int64), held, None))
+
+        for batch in batches:
+            key, h = (c.to_numpy() for c in batch.columns)
+            bounds = np.flatnonzero(np.diff(key)) + 1
+            for s, e in zip([0, *bounds.tolist()], [*bounds.tolist(), len(key)], strict=True):
+                if s == e:
+                    continue
+                own = np.unique(h[s:e])
+                if key[s] != held_key:
+                    done()
+                    held_key, held, pivot = key[s], own, None
+                elif pivot is None:
+                    held = np.union1d(held, own)
+                else:
+                    held = own
+                if pivot is None and len(held) > limit:
+                    pivot = held[0]
+                if pivot is not None:
+                    out.append((np.full(len(held), held_key, dtype=np.int64), held, pivot))
+            if out:
+                yield grouped(out)
+                out.clear()
+        done()
+        if out:
+            yield grouped(out)
+
+    return task
+
+
+def grouped(rows: list[tuple]) -> pa.RecordBatch:
+    pivots = pa.concat_arrays([pa.nulls(len(h), pa.int64()) if p is None else pa.array(np.full(len(h), p, dtype=np.int64)) for _, h, p in rows])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g for g, _, _ in rows])), pa.array(np.concatenate([h for _, h, _ in rows])), pivots], names=["group", "h", "pivot"])
 
 
 def shingles(lines: list[str]) -> list[np.ndarray]:
@@ -213,6 +261,52 @@ def links_task(threshold: float, sets_of=sets_of_lines):
     return task
 
 
+def pivots_task(threshold: float, sets_of=sets_of_lines):
+    """(group, h, pivot, value, pivot's value) to (group, h, pivot, near)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            near = np.zeros(batch.num_rows, dtype=bool)
+            for k in range(0, batch.num_rows, LIMIT):
+                part = batch.slice(k, LIMIT)
+                pivots = part.column(2).to_pylist()
+                for i, x in enumerate(sets_of(part.column(3).to_pylist())):
+                    if pivots[i] != last:
+                        last, own = pivots[i], sets_of([part.column(4)[i].as_py()])[0]
+                    near[k + i] = similar(x, own, threshold)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near)], names=["group", "h", "pivot", "near"])
+
+    return task
+
+
+def bucket_links(bands: DataFrame, values_of, threshold: float, sets_of=sets_of_lines, limit: int = LIMIT) -> DataFrame:
+    """(a, b): links that connect all h of a bucket (key, h) whose sets are similar.
+
+    ``values_of`` gives (h, value) of the wanted (h), and ``sets_of`` sets of values.
+    """
+    groups = cut(bands.repartition("key").sortWithinPartitions("key").mapInArrow(groups_task(limit), "group long, h long, pivot long").distinct())
+    values = values_of(groups.select("h").distinct()).toDF("h", "value")
+    small, large = groups.where("pivot IS NULL").select("group", "h"), groups.where("pivot != h")
+    found = []
+    if not large.isEmpty():
+        values = cut(values)
+        # Rows are dealt by line, and again by pivot with the hot ones split by Spark.
+        pivot = values.select(other_key("h").alias("k"), F.col("value").alias("pivot_value"))
+        near = cut(large.join(values, "h").withColumn("k", other_key("pivot")).join(pivot, "k").select("group", "h", "pivot", "value", "pivot_value").mapInArrow(pivots_task(threshold, sets_of), "group long, h long, pivot long, near boolean"))
+        found.append(near.where("near").select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct())
+        # Lines that their pivot is not similar to meet the whole bucket: blocks of them with blocks of all.
+        sizes = near.groupBy("group").agg(F.ceil(F.count_if(~F.col("near")) / limit).cast("int").alias("blocks"), F.ceil((F.count("*") + 1) / limit).cast("int").alias("turns"), F.first("pivot").alias("pivot")).where("blocks > 0")
+        salted = lambda n, salt: F.pmod(F.xxhash64("h", F.lit(salt)), F.col(n)).cast("int")
+        rest = near.select("group", "h", "near").join(sizes.drop("pivot"), "group").unionByName(sizes.select("group", F.col("pivot").alias("h"), F.lit(True).alias("near"), "blocks", "turns"))
+        own = rest.where("NOT near").select("group", "h", salted("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+        all_of = rest.select("group", "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), salted("turns", 2).alias("turn"))
+        small = small.unionByName(own.unionByName(all_of).select(F.xxhash64("group", "block", "turn").alias("group"), "h").distinct())
+    rows = small.join(values, "h").select("group", "h", "value").repartition("group").sortWithinPartitions("group")
+    found.append(rows.mapInArrow(links_task(threshold, sets_of), "a long, b long"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def membership(hashes: DataFrame, column: str) -> np.ndarray:
     """A filter of 2**FILTER_BITS bits over a column of hashes, in bytes: 4 MB whatever the number of hashes. A set bit says maybe, a clear one no."""
     place = F.pmod(F.col(column), F.lit(1 << FILTER_BITS)).cast("long")
@@ -249,16 +343,13 @@ def texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return docs.select(text_col).mapInArrow(task, "h long, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
 
 
-def similar_lines(docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
+def similar_lines(docs: DataFrame, text_col: str, threshold: float, limit: int = LIMIT) -> DataFrame:
     """(node, component) of the hashes of lines that are similar to another, not equal one."""
     bands = docs.select(text_col).mapInArrow(bands_task, "key long, h long")
-    groups = cut(bands.repartition("key").sortWithinPartitions("key").mapInArrow(groups_task, "group long, h long").distinct())
-    lines = texts_of(docs, text_col, groups.select("h").distinct())
-    rows = groups.join(lines, "h").select("group", "h", "line").repartition("group").sortWithinPartitions("group")
-    return connected_components(rows.mapInArrow(links_task(threshold), "a long, b long"))
+    return connected_components(bucket_links(bands, lambda wanted: texts_of(docs, text_col, wanted), threshold, limit=limit))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the text's repeated lines taken out, and n_lines, n_removed.
 
     Lines are the parts between newlines. Equal lines, and lines whose sets of lower-cased
@@ -267,18 +358,21 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     taken out; lines shorter than a shingle are compared whole. A text that loses all its
     lines becomes empty; null texts stay null with 0 lines; rows without an id stay as they
     are; rows that share an id are one document and change alike; other columns are kept; an
-    empty table gives no rows.
+    empty table gives no rows. Equal lines are told by 128 bits of hash, lines with similar
+    ones by 64.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__id").isNotNull())
     # A line with any character that is not white space; the tests for it and for equality are the same as in the tasks above.
-    place = cut(own.select("__id", F.posexplode(F.split("__text", "\n", -1)).alias("__no", "__line")).where(F.regexp_like("__line", F.lit(r"(?U)\S"))).select("__id", "__no", F.xxhash64("__line").alias("h")))
-    found = similar_lines(own, "__text", threshold)
-    heads = place.groupBy("h").agg(F.min(F.struct("__id", "__no")).alias("first"), F.count("*").alias("n"))
-    heads = heads.join(found, heads["h"] == found["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("component"))
-    groups = heads.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1")
-    repeated = cut(heads.select("h", "component").join(groups, "component").select("h", "keeper"))
-    gone = place.join(repeated, "h").where(F.struct("__id", "__no") != F.col("keeper")).groupBy("__id").agg(F.collect_set("__no").alias("__gone"))
-    lines = F.split(F.col(text_col), "\n", -1)
+    place = cut(own.select("__id", F.posexplode(F.split("__text", "\n", -1)).alias("__no", "__line")).where(F.regexp_like("__line", F.lit(r"(?U)\S"))).select("__id", "__no", F.xxhash64("__line").alias("h"), F.xxhash64("__line", F.lit(1)).alias("h2")))
+    found = similar_lines(own, "__text", threshold, limit)
+    heads = place.groupBy("h", "h2").agg(F.min(F.struct("__id", "__no")).alias("first"), F.count("*").alias("n"))
+    heads = heads.join(found, heads["h"] == found["node"], "left").select("h", "h2", "first", "n", F.coalesce("component", "h").alias("component"), F.when(F.col("component").isNull(), F.col("h2")).alias("only"))
+    groups = heads.groupBy("component", "only").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1").withColumnsRenamed({"component": "c", "only": "o"})
+    repeated = cut(heads.select("h", "h2", "component", "only").join(groups, (F.col("component") == F.col("c")) & F.col("only").eqNullSafe(F.col("o"))).select("h", "h2", "keeper"))
+    gone = place.join(repeated, ["h", "h2"]).where(F.struct("__id", "__no") != F.col("keeper")).groupBy("__id").agg(F.collect_set("__no").alias("__gone"))
     left = docs.join(gone, docs[id_col] == gone["__id"], "left")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    # The parts are made once for each text, and those that stay are taken by their places.
+    lines = F.split(F.col(text_col), "\n", -1)
+    stay = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i)), "\n")
+    kept = F.element_at(F.transform(F.array(lines), stay), 1)
     return left.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)), text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)}).drop("__id", "__gone")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmeter.llm.common import cut, runs
-from voxmeter.llm.lines import ROWS, SEED, STEP, band_keys, groups_task, least, links_task, maybe_in, membership
+from voxmeter.llm.lines import LIMIT, ROWS, SEED, STEP, band_keys, bucket_links, least, maybe_in, membership
 
 BANDS = 20
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
@@ -97,7 +97,11 @@ def sets_of(docs: DataFrame, reps: DataFrame, n_words: int) -> DataFrame:
     return docs.mapInArrow(task, "h long, own array<long>").join(reps, "h", "left_semi").groupBy("h").agg(F.first("own").alias("own"))
 
 
-def similar_texts(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def arrays(values: list) -> list[np.ndarray]:
+    return [np.asarray(x, dtype=np.int64) for x in values]
+
+
+def similar_texts(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) of ids that connect all texts whose sets of word shingles have a Jaccard similarity of at least ``threshold``.
 
     Texts without a word and rows without an id link with nothing; other columns are ignored;
@@ -107,11 +111,9 @@ def similar_texts(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, id_
     rows = cut(own.mapInArrow(classes_task(n_words), "id long, h long, keys array<long>"))
     # Equal texts are one class before any bucket is made.
     classes = cut(rows.groupBy("h").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
-    bands = classes.select(F.explode("keys").alias("key"), "h")
-    groups = cut(bands.repartition("key").sortWithinPartitions("key").mapInArrow(groups_task, "group long, h long").distinct())
     reps = classes.select("h", "rep")
-    sets = sets_of(own, cut(groups.select("h").distinct().join(reps, "h")), n_words)
-    near = groups.join(sets, "h").select("group", "h", "own").repartition("group").sortWithinPartitions("group").mapInArrow(links_task(threshold, list), "a long, b long")
+    wanted_sets = lambda wanted: sets_of(own, cut(wanted.join(reps, "h")), n_words)
+    near = bucket_links(classes.select(F.explode("keys").alias("key"), "h"), wanted_sets, threshold, arrays, limit)
     first, second = reps.toDF("a", "x"), reps.toDF("b", "y")
     between = near.distinct().join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     # A repeated text's copies stand by their representative; the join's key is one of a class, the many rows are split by Spark.
