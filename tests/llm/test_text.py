@@ -154,21 +154,22 @@ def test_additive_model_learns_an_interaction():
     assert ((m.margin(x[3000:]) > 0) == (y[3000:] > 0)).mean() > 0.9
 
 
-def tokens(texts):
+def tokens(texts, added=True):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not added
     return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-def test_packing_round_trip(spark, docs_of):
+@pytest.mark.parametrize("added", [True, False])
+def test_packing_round_trip(spark, docs_of, added):
     rng = random.Random(1)
-    texts = [None, "", " ", "  two  spaces \n and\tmore ", "<|endoftext|> don't we'll", "é日本 \u00a0x\u2028 y", "a" * 5000, "end "]
+    texts = [None, "", " ", "  two  spaces \n and\tmore ", "<|endoftext|> don't we'll", "é日本 \u00a0x\u2028 y", "a" * 5000, "end ", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n"]
     texts += [" ".join(rng.choice(["the", "cat,", "sat.\n", "Überall", "2024", "x_y", "—"]) for _ in range(rng.randrange(1, 3000))) for _ in range(60)]
-    ids = tokens(texts)
-    rows = packing.pack(docs_of(texts).repartition(3)).collect()
+    ids = tokens(texts, added)
+    rows = packing.pack(docs_of(texts).repartition(3), added=added).collect()
     by = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
         have = by.setdefault(r.doc_id, [])
@@ -204,3 +205,13 @@ def test_pipeline_stages(spark, sf_dir):
         assert out.where("n_chars <> length(text)").count() == 0
         docs = out
     assert docs.where(F.col("text").isNull()).count() == 0
+
+
+def test_packing_of_odd_rows(spark):
+    """Null ids and ids that occur twice are packed like any other."""
+    df = spark.createDataFrame([(None, "some text"), (1, "same"), (1, "same"), (2, None)], "doc_id long, text string")
+    rows = packing.pack(df).collect()
+    total = {}
+    for r in rows:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    assert total == {None: 3, 1: 4, 2: 1} and {(r.doc_id, r.doc_tokens) for r in rows} == {(None, 3), (1, 2), (2, 1)}

@@ -11,7 +11,6 @@ most ``POOL`` remainders, each shorter than the longest window.
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -19,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -29,49 +29,66 @@ AWKWARD = re.compile(r"\s | \s")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group string"
 
 
-class TokenCache(dict):
-    """Word (after a space, if ``lead``) -> its ids as little-endian 32-bit bytes; emptied at ``CACHE`` words."""
+def byte_letters() -> dict[int, str]:
+    """The printable letter by which byte-level vocabularies write each byte: itself if it has one, else those from U+0100 on in turn."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __init__(self, encode, lead: str):
+
+class PieceCache(dict):
+    """Pre-token -> its ids by the tokenizer's model, as little-endian 32-bit bytes; emptied at ``CACHE`` of them."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        self[piece] = ids = np.array([t.id for t in found], dtype="<u4").tobytes()
+        return ids
+
+
+class WordCache(dict):
+    """Word (after a space, if ``lead``) -> its ids, put together from its pre-tokens'; emptied at ``CACHE`` words."""
+
+    def __init__(self, encode, pieces: PieceCache, pattern: regex.Pattern, lead: str):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.pieces, self.pattern, self.lead = encode, pieces, pattern, lead
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = np.array(self.encode(self.lead + word), dtype="<u4").tobytes()
+        whole = self.lead + word
+        # Of newer letters two libraries may think differently: there the tokenizer cuts by itself.
+        ids = b"".join(map(self.pieces.__getitem__, self.pattern.findall(whole))) if len(word) <= 64 and max(word, default="") < "\u0500" else np.array(self.encode(whole), dtype="<u4").tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
 
 class ByteBpe:
-    """Ids of the byte-level BPE vocabulary. Texts with one of ``special``'s added tokens are encoded by that tokenizer; without it such strings are ordinary text.
+    """Ids of a byte-level BPE tokenizer file, without special tokens of its own.
 
-    The rank file holds the same vocabulary as ``byte_bpe_50k.json`` and gives the same
-    ids (tested). A single space between two non-spaces always starts a new pre-token,
-    so words are encoded once and looked up afterwards.
+    A single space between two non-spaces always starts a new pre-token, so words are put
+    together once and looked up afterwards. Texts with an added token are encoded whole:
+    those tokens have their own ids, or with ``added`` false are ordinary text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, special: str | None = None):
-        import tiktoken
-
-        self.whole, self.added = None, None
-        if special:
-            from tokenizers import Tokenizer
-
-            self.whole = Tokenizer.from_file(special)
-            self.added = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
+    def __init__(self, path: str, pattern: str, added: bool = True):
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.next = TokenCache(self.encode, ""), TokenCache(self.encode, " ")
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = not added
+        self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.added = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        pieces, pattern = PieceCache(tokenizer.model), regex.compile(pattern)
+        self.first, self.next = (WordCache(self.encode, pieces, pattern, lead) for lead in ("", " "))
 
     def ids(self, text: str) -> bytes:
-        if self.added and self.added.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if AWKWARD.search(text):
+        if AWKWARD.search(text) or self.added.search(text):
             return np.array(self.encode(text), dtype="<u4").tobytes()
         words = text.split(" ")
         return self.first[words[0]] + b"".join(map(self.next.__getitem__, words[1:]))
@@ -138,15 +155,15 @@ class Packer:
             self.emit(window)
 
 
-def pack(docs: DataFrame, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_tokens: int = 8192, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", special: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_tokens: int = 8192, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", added: bool = True) -> DataFrame:
     """Packs every document into windows of at most ``tiers[0]`` tokens.
 
     Null and empty texts are one end token; repeated rows are packed each on their own;
     a text of any length is cut into full windows and one remainder; other columns are
     not used; an empty table gives no rows. ``tiers`` are powers of two, longest first.
     Every window but a partition's last few is full at its tier; those last ones have
-    power-of-two lengths too, so no window needs padding. ``special`` names the tokenizer file
-    whose added tokens get their own ids; without it their strings are ordinary text.
+    power-of-two lengths too, so no window needs padding. Added tokens of the tokenizer file
+    ``vocabulary`` get their own ids; with ``added`` false their strings are ordinary text.
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers), reverse=True):
         raise ValueError("tiers must be distinct powers of two, longest first")
@@ -154,7 +171,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_t
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        bpe = ByteBpe(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, special and public_tokenizers.path(special))
+        bpe = ByteBpe(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, added)
         packer, end = Packer(TaskContext.get().partitionId(), tiers, step_tokens), np.array([end_id], dtype="<u4").tobytes()
 
         def out() -> pa.RecordBatch:
