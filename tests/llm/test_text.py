@@ -108,7 +108,7 @@ def plain_log_p(counts, order, text):
 def test_language_models_are_kneser_ney(spark):
     texts = {"aa": "the cat and the hat sat on the mat that day", "bb": "le chat et la souris sur le mur du jour"}
     df = spark.createDataFrame([(k, v) for k, v in texts.items()], "lang string, text string")
-    model = langid.train(df)
+    model = langid.train(df).load(0)
     key, _, _ = langid.symbols(["the souris xé"])
     got = langid.log_p(model, key)
     for i, lang in enumerate(model.langs):
@@ -119,6 +119,32 @@ def test_language_models_are_kneser_ney(spark):
         assert got[:, i] == pytest.approx(plain_log_p(counts, 4, "the souris xé "), abs=1e-4)
 
 
+def test_sharded_models_are_the_whole_model(spark, docs_of):
+    """N-grams of many scripts, a few per shard: sums over shards are those of one model, and no two n-grams share an entry."""
+    rng = random.Random(9)
+    letters = {"aa": "abcdefghijklm", "bb": "абвгдежзийклм", "cc": "日本語中国人大学生活動物"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 8)))
+    rows = [(i, " ".join(word(lang) for _ in range(30)), lang) for i, lang in enumerate(list(letters) * 20)]
+    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "", "bb"), (902, "abc где 日本", None)], "doc_id long, text string, lang string")
+    found = langid.train(docs, shard_rows=1500)
+    assert found.n > 3
+    parts = [found.load(k) for k in range(found.n)]
+    grams = {(lang, t[i : i + 4]) for _, text, lang in rows for t in [f"   {text} "] for i in range(len(t) - 3)}
+    assert sum(len(m.p[4][0]) for m in parts) == len({g for _, g in grams})
+    assert max(len(m.p[4][0]) for m in parts) < len(grams) / 2
+    one, many = ({r.doc_id: r for r in langid.identify(docs, shard_rows=n).collect()} for n in (10**9, 1500))
+    assert len(one) == 63
+    for i, r in one.items():
+        assert many[i][:3] == r[:3] and many[i].rejected == r.rejected
+        assert many[i].entropy == pytest.approx(r.entropy, abs=1e-5) and many[i].score == pytest.approx(r.score, abs=1e-4)
+
+
+def test_equal_entropies_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["zz", "mm"] * 10)], "doc_id long, text string, lang string")
+    both = docs.withColumn("lang", F.explode(F.array(F.lit("zz"), F.lit("mm"))))
+    assert {r.lang_pred for r in langid.identify(both).collect()} == {"mm"}
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id")

@@ -3,9 +3,11 @@
 Training: character 4-grams of all training texts are counted where the texts lie
 (one sorted array per task and language), summed by Spark, and the lower orders
 follow from the distinct higher ones by joins, as Kneser-Ney asks. The model is
-stored as sorted arrays of n-gram hashes with the log-probabilities of all
-languages beside them. A hash has ``SLOT_BITS`` bits, so an order has at most
-2**SLOT_BITS entries however large the corpus is: that bounds the broadcast.
+stored as sorted arrays of whole 64-bit n-gram keys with the log-probabilities of all
+languages beside them, so no two n-grams share an entry, and it grows with the corpus.
+It is broadcast in shards of a bounded number of entries: all that is known of a
+character with those before it lies in the shard of the two characters before it, and
+a text's sums go from shard to shard.
 
 Scoring looks up every character of every text; the language with the lowest
 cross-entropy per character wins, and a text that fits even its best language far
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from voxmeter.llm.common import code_points, cut, held_out, runs, xxh64_longs
 
 ORDER = 4
-SLOT_BITS = 20
+#: N-grams and contexts of all languages in a shard of the model, about.
+SHARD_ROWS = 2_000_000
 CHUNK = 1_500_000
 SPACE = np.uint64(32)
 _alpha: list[np.ndarray] = []
@@ -98,17 +101,15 @@ def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, key, n) of the highest order to (order, kind, slot, lang, value).
+    """(lang, key, n) of the highest order to (order, kind, key, lang, value).
 
     kind 'p': ln of the interpolated probability of a seen n-gram; kind 'b': ln of the
     weight that a seen context leaves to the next lower order.
     """
-    spark = counts.sparkSession
     tables, out = {ORDER: counts}, []
     for n in range(ORDER - 1, 0, -1):
         keep = (1 << (16 * n)) - 1
         tables[n] = tables[n + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(keep).cast("long")).alias("key")).agg(F.count("*").alias("n"))
-    slot = F.xxhash64("key").bitwiseAND(F.lit((1 << SLOT_BITS) - 1).cast("long"))
     lower = None
     for n in range(1, ORDER + 1):
         t = tables[n].withColumn("ctx", F.shiftrightunsigned("key", 16) if n > 1 else F.lit(0).cast("long"))
@@ -123,37 +124,57 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             p = p.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << (16 * (n - 1))) - 1).cast("long")))
             p = p.join(lower.select("lang", F.col("key").alias("low"), F.col("p").alias("p_low")), ["lang", "low"]).select("lang", "key", (F.col("own") + F.col("back") * F.col("p_low")).alias("p"))
         lower = p = cut(p)
-        out.append(p.groupBy("lang", slot.alias("slot")).agg(F.max("p").alias("value")).select(F.lit(n).alias("order"), F.lit("p").alias("kind"), "slot", "lang", F.log("value").alias("value")))
-        b = ctx.select("lang", F.col("ctx").alias("key"), "back")
-        out.append(b.groupBy("lang", slot.alias("slot")).agg(F.max("back").alias("value")).select(F.lit(n).alias("order"), F.lit("b").alias("kind"), "slot", "lang", F.log("value").alias("value")))
+        out.append(p.select(F.lit(n).alias("order"), F.lit("p").alias("kind"), "key", "lang", F.log("p").alias("value")))
+        out.append(ctx.select(F.lit(n).alias("order"), F.lit("b").alias("kind"), F.col("ctx").alias("key"), "lang", F.log("back").alias("value")))
     return reduce(DataFrame.unionByName, out)
 
 
 @dataclass
 class Model:
+    """What one shard holds: per order, sorted keys and values by key and language. All orders below three are in every shard."""
+
     langs: list[str]
-    p: dict[int, tuple[np.ndarray, np.ndarray]]  # order -> sorted slots, ln p by slot and language
+    p: dict[int, tuple[np.ndarray, np.ndarray]]
     b: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def find(sorted_slots: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(sorted_slots, slots)
-    at[at == len(sorted_slots)] = 0
-    return at, sorted_slots[at] == slots
+@dataclass
+class Shards:
+    """A trained model as rows (order, p, key, lang, value), languages by number, and the number of shards it is taken in."""
+
+    langs: list[str]
+    rows: DataFrame
+    n: int
+
+    def load(self, k: int) -> Model:
+        rows = self.rows
+        if self.n > 1:
+            middle = F.when(F.col("order") < 3, None).otherwise(F.when(F.col("p"), F.shiftrightunsigned("key", 16)).otherwise(F.col("key"))).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+            rows = rows.where((F.col("order") < 3) | (F.pmod(F.xxhash64(middle), F.lit(self.n)) == k))
+        return assemble(self.langs, rows.toArrow())
+
 
+def shard_of(key: np.ndarray, n: int) -> np.ndarray:
+    """The shard of each 4-gram key: that of the two symbols before the newest."""
+    return np.mod(xxh64_longs((key >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).view(np.int64), n)
 
-def slots_of(key: np.ndarray) -> np.ndarray:
-    return (xxh64_longs(key) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.uint32)
+
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.searchsorted(sorted_keys, keys)
+    at[at == len(sorted_keys)] = 0
+    return at, sorted_keys[at] == keys
 
 
 def log_p(model: Model, key: np.ndarray, n: int = ORDER) -> np.ndarray:
     """ln p of each key's newest symbol, by language: found n-grams directly, the rest by back-off."""
     if n == 0:
         return np.full((len(key), len(model.langs)), -np.log(65536.0), dtype=np.float32)
-    key = key & np.uint64((1 << (16 * n)) - 1) if n < 4 else key
-    slots, values = model.p[n]
-    at, hit = find(slots, slots_of(key))
-    out = values[at]
+    key = key & np.uint64((1 << (16 * n)) - 1) if n < ORDER else key
+    keys, values = model.p[n]
+    at, hit = find(keys, key)
+    out = values[at] if len(keys) else np.empty((len(key), len(model.langs)), dtype=np.float32)
     if not hit.all():
         rest = ~hit
         out[rest] = backed_off(model, key[rest], n)
@@ -161,38 +182,30 @@ def log_p(model: Model, key: np.ndarray, n: int = ORDER) -> np.ndarray:
 
 
 def backed_off(model: Model, key: np.ndarray, n: int) -> np.ndarray:
-    slots, weights = model.b[n]
-    at, hit = find(slots, slots_of(key >> np.uint64(16) if n > 1 else np.zeros_like(key)))
-    return np.where(hit[:, None], weights[at], np.float32(0)) + log_p(model, key, n - 1)
+    keys, weights = model.b[n]
+    at, hit = find(keys, key >> np.uint64(16) if n > 1 else np.zeros_like(key))
+    return (np.where(hit[:, None], weights[at], np.float32(0)) if len(keys) else np.float32(0)) + log_p(model, key, n - 1)
 
 
 def assemble(langs: list[str], rows: pa.Table) -> Model:
-    """Sorted arrays from the rows of ``kneser_ney``, languages by number; what a language lacks of an n-gram is NaN."""
+    """Sorted arrays from the rows of a shard; what a language lacks of an n-gram is its backed-off value."""
     model = Model(langs, {}, {})
-    order, is_p, slot, lang, value = (rows.column(i).to_numpy() for i in range(5))
+    order, is_p, key, lang, value = (rows.column(i).to_numpy() for i in range(5))
     for n in range(1, ORDER + 1):
         for p, into in ((False, model.b), (True, model.p)):
             own = (order == n) & (is_p == p)
-            slots, at = np.unique(slot[own].astype(np.uint32), return_inverse=True)
-            grid = np.full((len(slots), len(langs)), np.nan, dtype=np.float32)
+            keys, at = np.unique(key[own].view(np.uint64), return_inverse=True)
+            grid = np.full((len(keys), len(langs)), np.nan, dtype=np.float32)
             grid[at, lang[own]] = value[own]
-            into[n] = (slots, grid if p else np.where(np.isnan(grid), np.float32(0), grid))
-    return model
-
-
-def fill(model: Model, keys: dict[int, np.ndarray]) -> None:
-    """Replaces what a language lacks of an n-gram by its backed-off value. keys: one key of each slot and order."""
-    for n in range(1, ORDER + 1):
-        slots, values = model.p[n]
-        own = np.zeros(len(slots), dtype=np.uint64)
-        key = keys[n]
-        own[find(slots, slots_of(key))[0]] = key
+            into[n] = (keys, grid if p else np.where(np.isnan(grid), np.float32(0), grid))
+        keys, values = model.p[n]
         lack = np.isnan(values)
-        rows = lack.any(1)
-        values[rows] = np.where(lack[rows], backed_off(model, own[rows], n), values[rows])
+        some = lack.any(1)
+        values[some] = np.where(lack[some], backed_off(model, keys[some], n), values[some])
+    return model
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model | None:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> Shards | None:
     """Models of every language with a letter in a text; None if there is none. Null languages and texts teach nothing."""
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text")).dropna()
     counts = cut(rows.mapInArrow(count_task, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
@@ -200,52 +213,59 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
     if not langs:
         return None
     of = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
-    rows = kneser_ney(counts).select(F.col("order").cast("int"), (F.col("kind") == "p").alias("p"), F.col("slot").cast("int"), of.alias("lang"), F.col("value").cast("float"))
-    model = assemble(langs, rows.toArrow())
-    keys = {}
-    for n in range(1, ORDER + 1):
-        mask = (1 << (16 * n)) - 1
-        key = F.col("key").bitwiseAND(F.lit(mask if n < 4 else -1).cast("long"))
-        slot = F.xxhash64(key).bitwiseAND(F.lit((1 << SLOT_BITS) - 1).cast("long"))
-        keys[n] = counts.groupBy(slot.alias("slot")).agg(F.min(key).alias("key")).select("key").toArrow().column(0).to_numpy().view(np.uint64)
-    fill(model, keys)
-    return model
+    rows = cut(kneser_ney(counts).select(F.col("order").cast("int"), (F.col("kind") == "p").alias("p"), "key", of.alias("lang"), F.col("value").cast("float")))
+    return Shards(langs, rows, max(1, -(-rows.count() // shard_rows)))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: Shards | None, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` columns, lang_pred, score, entropy (of the best language, in nats a symbol) and n_letters of every row."""
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(0).cast("long").alias("n_letters"))
-    shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema
-    for field in ("lang_pred string", "score double", "entropy double", "n_letters long"):
-        schema = schema.add(*field.split())
-    names = [*keep, "lang_pred", "score", "entropy", "n_letters"]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            best, sure, entropy, n_letters = [], [], [], []
-            for a, b in runs([len(t) for t in texts], CHUNK):
-                key, n, own = symbols(texts[a:b])
-                totals = np.zeros((b - a, len(m.langs)))
+    langs, shards = model.langs, model.n
+
+    def task(shared, k: int):
+        """Adds the shard's part to each text's sums; after the last shard they are judged."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, last = shared.value, k == shards - 1
+            for batch in batches:
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                sums = batch.column(batch.num_columns - 2)
+                totals = np.zeros((len(texts), len(langs))) if k == 0 else np.asarray(sums.flatten()).reshape(-1, len(langs)).copy()
+                n, n_letters = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+                for a, b in runs([len(t) for t in texts], CHUNK):
+                    key, n[a:b], n_letters[a:b] = symbols(texts[a:b])
+                    own = np.flatnonzero(shard_of(key, shards) == k) if shards > 1 else slice(None)
+                    text = np.repeat(np.arange(a, b), n[a:b])[own]
+                    p = log_p(m, key[own])
+                    if len(text):
+                        first = np.flatnonzero(np.diff(text, prepend=-1))
+                        totals[text[first]] += np.add.reduceat(p, first, axis=0, dtype=np.float64)
+                kept = batch.columns[:-2]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*kept, pa.FixedSizeListArray.from_arrays(pa.array(totals.ravel()), len(langs)).cast(pa.list_(pa.float64())), batch.column(batch.num_columns - 1)], names=[*keep, "sums", "text"])
+                    continue
                 has = n > 0
-                if has.any():
-                    totals[has] = np.add.reduceat(log_p(m, key), (np.cumsum(n) - n)[has], axis=0, dtype=np.float64)
                 h = -totals / np.maximum(n, 1)[:, None]
                 odds = np.exp((h.min(1)[:, None] - h) * np.sqrt(np.maximum(n, 1))[:, None] * 2)
-                best += [m.langs[i] if w else "und" for i, w in zip(h.argmin(1), has, strict=True)]
-                sure.append(np.where(has, 1 / odds.sum(1), 0.0))
-                entropy.append(np.where(has, h.min(1), np.nan))
-                n_letters.append(own)
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(cat(sure)), pa.array(cat(entropy), from_pandas=True, type=pa.float64()), pa.array(cat(n_letters).astype(np.int64))], names=names)
+                best = [langs[i] if w else "und" for i, w in zip(h.argmin(1), has, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(np.where(has, 1 / odds.sum(1), 0.0)), pa.array(np.where(has, h.min(1), np.nan), from_pandas=True), pa.array(n_letters)], names=[*keep, "lang_pred", "score", "entropy", "n_letters"])
+
+        return run
 
-    return docs.select(*keep, F.col(text_col)).mapInArrow(task, schema)
+    rows = docs.select(*keep, F.lit(None).cast("array<double>").alias("sums"), F.col(text_col).alias("text"))
+    schema = docs.select(*keep).schema
+    for field in ("lang_pred string", "score double", "entropy double", "n_letters long"):
+        schema = schema.add(*field.split())
+    for k in range(shards):
+        shared = spark.sparkContext.broadcast(model.load(k))
+        if k == shards - 1:
+            return rows.mapInArrow(task(shared, k), schema)
+        rows = cut(rows.mapInArrow(task(shared, k), rows.schema))
+        shared.unpersist()
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", z: float = 8.0, slack: float = 1.0) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", z: float = 8.0, slack: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Predicts each row's language: id, held_out, lang_pred, score, rejected, entropy, n_letters.
 
     Learns from the rows that are not held out and have a language. Null texts and texts
@@ -257,7 +277,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shrinks with length.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    model = train(rows.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    model = train(rows.where(~F.col("held_out") & F.col("doc_id").isNotNull()), shard_rows=shard_rows)
     scored = cut(score(docs.sparkSession, rows, model, "doc_id", "text", ["doc_id", "lang", "held_out"]))
     known = scored.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")) & (F.col("n_letters") > 0))
     mean = known.groupBy("lang").agg(F.avg("entropy").alias("mean"))
