@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from voxmeter.llm import surrogates as S
 
+KEY = b"a key for tests"
+
 
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
 def test_permutation(size):
-    assert sorted(S.permuted(x, size, S.KEY, "t") for x in range(size)) == list(range(size))
+    assert sorted(S.permuted(x, size, KEY, "t") for x in range(size)) == list(range(size))
 
 
 def test_formats():
-    s = S.surrogate
+    s = lambda kind, entity, key=KEY: S.surrogate(kind, entity, key)
     assert re.fullmatch(r"[a-z]{4}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", s("email", "ab.c.42@mail8.example.com".replace("ab.c", "abcd")))
     assert s("email", "x@mail8.example.com").partition("@")[2] == s("email", "y@mail8.example.com").partition("@")[2]
     for card in ("4111111111111111", "4111111111111112"):
@@ -43,7 +46,7 @@ def test_rows(spark):
         "x" * 50_000 + " a@b.cc",
     ]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(0, texts[0], "k"), (None, texts[0], "k")], "doc_id long, text string, kind string")
-    rows = S.replace_entities(df).collect()
+    rows = S.replace_entities(df, KEY).collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == 10 and len({r.text for r in rows if r.doc_id in (0, None)}) == 1
     assert [got[i].n_entities for i in range(8)] == [4, 3, 7, 3, 0, 0, 0, 1]
@@ -59,12 +62,61 @@ def test_rows(spark):
     names = re.findall(r"Frau (\w+) (\w+) met Herr (\w+); (\w+) left. Mrs. (\w+) (\w+), г-жа (\w+)", got[2].text)[0]
     assert names[1] == names[3] == names[2].title() and names[2].isupper() and names[0] == names[4] and names[5] != names[1]
     assert re.fullmatch("[А-Яа-я]+", names[6])
-    assert S.replace_entities(df.limit(0)).count() == 0
+    assert S.replace_entities(df.limit(0), KEY).count() == 0
 
 
 def test_clashes_are_drawn_again(spark, monkeypatch):
     found = spark.createDataFrame([("family", f"n{i}") for i in range(200)] + [("ssn", f"{i:03d}-00-0000".replace("-", "")) for i in range(50)], "kind string, entity string")
-    rows = S.assigned(found, S.KEY)
+    rows = S.assigned(found, KEY)
     assert rows.count() == 250
     assert rows.groupBy("kind", "stand_in").count().where("count > 1").count() == 0
     assert rows.join(rows.select("kind", F.col("entity").alias("stand_in")), ["kind", "stand_in"]).count() == 0
+
+
+def test_odd_values_never_fail_a_table(spark):
+    texts = ["password=******", "mail _@-.com here", "secret: \"пароль-тайна\"", "password=######## again", "token=日本語日本語日本", "pwd=-------7", "pwd=-------8"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in S.replace_entities(df, KEY).collect()}
+    assert [got[i].n_entities for i in range(7)] == [0, 0, 1, 0, 1, 1, 1]
+    assert all(got[i].text == texts[i] for i in (0, 1, 3)) and all(got[i].text != texts[i] for i in (2, 4, 5, 6))
+    assert re.fullmatch('secret: "[\u0400-\u04ff-]+"', got[2].text) and len({got[i].text for i in (5, 6)}) == 2
+
+
+def test_numbers_without_a_check_digit_are_no_cards():
+    assert S.entities("number 8643240540751637 and 4111 1111 1111 1112") == []
+    assert [k for _, _, k in S.entities("card 4111 1111 1111 1111")] == ["card"]
+
+
+def test_time_grows_with_the_entities_of_a_text():
+    text = " ".join(f"user{i}@mail.example.com and Frau Name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(25_000))
+    began = time.time()
+    assert len(S.entities(text)) == 50_000
+    assert time.time() - began < 20
+
+
+def test_whole_table_against_the_plain_way(spark, sf_dir):
+    """Outside the entities nothing changes; one entity has one surrogate everywhere, two have two, and each is one of its kind again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10**9 + i, f"Dear Mrs. Ann{'abc'[i % 3]} Li{'xyz'[i % 2]}, mail a{i % 7}@b{i % 3}.org or +1 212 555 {1000 + i % 5}; Li{'xyz'[i % 2]} knows.") for i in range(60)], "doc_id long, text string")
+    docs = docs.union(more)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    stands: dict[tuple[str, str], str] = {}
+    for r in S.replace_entities(docs, KEY).collect():
+        old, new, at, shift = texts[r.doc_id] or "", r.text or "", 0, 0
+        found = S.entities(old)
+        assert r.n_entities == len(found)
+        for k, (a, b, kind) in enumerate(found):
+            assert old[at:a] == new[at + shift : a + shift]
+            # The stand-in ends where the text up to the next entity, or the end, goes on.
+            end = a + shift + len(S.spelled(kind, old[a:b], stands[kind, S.canonical(kind, old[a:b])])) if (kind, S.canonical(kind, old[a:b])) in stands else None
+            if end is None:
+                rest = old[b : found[k + 1][0] if k + 1 < len(found) else len(old)]
+                end = new.index(rest, a + shift + 1) if rest else len(new)
+            value = S.canonical(kind, new[a + shift : end])
+            assert stands.setdefault((kind, S.canonical(kind, old[a:b])), value) == value
+            if kind in S.PATTERNS and kind != "secret":
+                assert S.PATTERNS[kind].fullmatch(new[a + shift : end])
+            at, shift = b, end - b
+        assert old[at:] == new[at + shift :]
+    assert len(stands) > 20 and len({(k, v) for (k, _), v in stands.items()}) == len(stands)
+    assert not {(k, v) for (k, _), v in stands.items()} & set(stands)

@@ -6,14 +6,19 @@ gender of what it stands for and follows from a secret key and the entity alone,
 entity has one surrogate in all documents. Letters and digits are permuted within their
 own classes by a keyed Feistel network: distinct entities of a format get distinct
 surrogates. All surrogates are then checked against each other and against all entities
-found; those that clash are drawn again until none does.
+found; those that clash are drawn again until none does. A card number counts by its check
+digit. Masks without a letter or digit hide nothing and are no entities.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +27,6 @@ from pyspark.sql import functions as F
 from voxmeter.llm.common import cut
 from voxmeter.llm.components import other_key
 
-KEY = b"change me in production"
 # Titles by gender, fixed values.
 MALE = ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Sr", "Señor", "Don", "Signor", "господин", "г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Sra", "Señora", "Srta", "Doña", "Signora", "госпожа", "г-жа"]
@@ -33,6 +37,7 @@ GIVEN = {
 SYLLABLES = {"latin": ["ba", "den", "fi", "gor", "han", "jo", "kel", "lin", "mar", "nov", "pe", "ros", "sil", "tan", "ver", "wil"], "cyrillic": ["ба", "ден", "фи", "гор", "хан", "жо", "кел", "лин", "мар", "нов", "пе", "рос", "сил", "тан", "вер", "вил"]}
 #: Turns after which a format counts as exhausted: each further turn adds a character to the stand-in.
 WIDER = 3
+TURNS = 24
 WORD = r"[^\W\d_]"
 NAME = rf"{WORD}[\w'’-]*"
 PATTERNS = {
@@ -55,36 +60,53 @@ def gender(title: str) -> str:
     return "m" if any(title.rstrip(".").lower() == t.lower() for t in MALE) else "f"
 
 
+def counts(kind: str, value: str) -> bool:
+    """Whether what a pattern found is an entity."""
+    if kind == "email":
+        return any(map(str.isalnum, value.partition("@")[0]))
+    if kind == "secret":
+        return any(map(str.isalnum, value))
+    if kind == "card":
+        digits = re.sub(r"\D", "", value)
+        return digits[0] in "23456" and luhn(digits) == 0
+    return True
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, apart and in order; on overlap the kind first in ORDER counts."""
+    starts: list[int] = []
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
 
     def add(start: int, end: int, kind: str) -> None:
-        if all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
-            found.append((start, end, kind))
+        i = bisect_right(starts, start)
+        if (not i or found[i - 1][1] <= start) and (i == len(starts) or starts[i] >= end):
+            starts.insert(i, start)
+            found.insert(i, (start, end, kind))
 
     if HINT.search(text):
         for kind in ORDER:
             if kind == "email" and "@" not in text:
                 continue
             for m in PATTERNS[kind].finditer(text):
-                add(*m.span(1 if kind == "secret" else 0), kind)
-    families: dict[str, str] = {}
+                span = m.span(1 if kind == "secret" else 0)
+                if counts(kind, text[slice(*span)]):
+                    add(*span, kind)
+    families: dict[str, set[str]] = defaultdict(set)  # first word -> names that begin with it
     for m in TITLED.finditer(text):
         sex, words = gender(m[0].split()[0]), list(re.finditer(NAME, m[1]))
         at = m.start(1)
         for k, w in enumerate(words):
             last = k == len(words) - 1
             add(at + w.start(), at + w.end(), "family" if last else f"given-{sex}")
-            if last:
-                families[w[0]] = "family"
-    for name in families:  # later mentions without a title
-        if len(name) >= 3:
-            for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
-                add(*m.span(), "family")
-    return sorted(found)
+            if last and len(w[0]) >= 3:
+                families[re.match(r"\w+", w[0])[0]].add(w[0])
+    if families:  # later mentions without a title
+        for m in re.finditer(r"\w+", text):
+            for name in sorted(families.get(m[0], ()), key=len, reverse=True):
+                end = m.start() + len(name)
+                if text.startswith(name, m.start()) and not re.match(r"\w", text[end : end + 1]):
+                    add(m.start(), end, "family")
+    return found
 
 
 def canonical(kind: str, value: str) -> str:
@@ -111,19 +133,28 @@ def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
             return x
 
 
+@lru_cache(maxsize=10_000)
+def alike(c: str) -> str:
+    """The characters that may stand for a letter or digit: those of its case in ASCII, else of its kind among its 64 neighbours; none for other characters."""
+    for own in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if c in own:
+            return own
+    kind = unicodedata.category(c)
+    if c.isascii() or kind[0] != "L" and kind != "Nd":
+        return ""
+    return "".join(x for k in range(ord(c) // 64 * 64, ord(c) // 64 * 64 + 64) if unicodedata.category(x := chr(k)) == kind)
+
+
 def shuffled(value: str, key: bytes, tweak: str, fixed: int = 0, alphabet: str | None = None) -> str:
-    """Letters to letters of their case, digits to digits (or characters of ``alphabet`` among themselves), the rest and the first ``fixed`` characters as they are; a permutation of the values of one format."""
-    sets = []
-    for i, c in enumerate(value):
-        own = "" if i < fixed else alphabet if alphabet and c in alphabet else "0123456789" if c in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else ""
-        sets.append(own)
+    """Letters and digits to such as are alike (or characters of ``alphabet`` among themselves), the rest and the first ``fixed`` characters as they are; a permutation of the values of one format."""
+    sets = ["" if i < fixed else alphabet if alphabet and c in alphabet else alike(c) for i, c in enumerate(value)]
     size, x = 1, 0
     for c, own in zip(value, sets, strict=True):
         if own:
             size, x = size * len(own), x * len(own) + own.index(c)
     if size == 1:
         return value
-    shape = "".join(str(len(own)) if own else c for c, own in zip(value, sets, strict=True))
+    shape = "".join(f"{len(own)}{own[0]}" if own else c for c, own in zip(value, sets, strict=True))
     x, out = permuted(x, size, key, f"{tweak} {shape}"), list(value)
     for i in range(len(value) - 1, -1, -1):
         if sets[i]:
@@ -136,7 +167,7 @@ def luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
-def surrogate(kind: str, entity: str, key: bytes = KEY, turn: int = 0) -> str:
+def surrogate(kind: str, entity: str, key: bytes, turn: int = 0) -> str:
     """The stand-in for an entity in its canonical spelling; ``turn`` is raised after a clash."""
     tweak, wide = f"{kind} {turn}", "0" * max(0, turn - WIDER)
     if kind == "email":
@@ -203,9 +234,13 @@ def assign_task(key: bytes):
 
 
 def assigned(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, turn, stand_in): no two entities of a kind share a stand-in, and no stand-in is an entity that was found. Stand-ins of an exhausted format are longer."""
+    """(kind, entity, turn, stand_in): no two entities of a kind share a stand-in, and no stand-in is an entity that was found.
+
+    Stand-ins of an exhausted format are longer; after ``TURNS`` turns they get the entity's
+    hash behind them.
+    """
     rows = cut(found.select("kind", "entity").distinct().withColumn("turn", F.lit(0)).mapInArrow(assign_task(key), "kind string, entity string, turn int, stand_in string"))
-    for _ in range(64):
+    for turn in range(TURNS + 1):
         taken = rows.groupBy("kind", "stand_in").agg(F.min("entity").alias("owner"), F.count("*").alias("n"))
         real = rows.select("kind", F.col("entity").alias("stand_in")).withColumn("real", F.lit(True))
         bad = taken.join(real, ["kind", "stand_in"], "left").where((F.col("n") > 1) | F.col("real")).select("kind", "stand_in", F.when(F.col("real"), None).otherwise(F.col("owner")).alias("owner"))
@@ -213,8 +248,10 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
         if clash.isEmpty():
             return rows
         again = clash.withColumn("turn", F.col("turn") + 1).mapInArrow(assign_task(key), "kind string, entity string, turn int, stand_in string")
+        if turn == TURNS:
+            again = again.withColumn("stand_in", F.concat("stand_in", F.lower(F.hex(F.xxhash64("entity", F.lit(key.hex()))))))
         rows = cut(rows.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity", "turn", "stand_in").unionByName(again))
-    raise ValueError("surrogates still clash")
+    return rows
 
 
 def replace_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +271,10 @@ def replace_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "text", "n_entities", "kinds"])
 
 
-def replace_entities(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_entities and kinds of every row.
 
-    Null and empty texts stay as they are with no entities; texts of any length are read
+    ``key`` is secret: who has it can find out what a surrogate stands for. Null and empty texts stay as they are with no entities; texts of any length are read
     whole; repeated rows and equal texts change alike; null ids are fine; other columns are
     ignored; an empty table gives no rows. Texts without entities come back unchanged.
     """
