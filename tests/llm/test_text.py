@@ -56,6 +56,25 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0), urls.rule_table(spark, own)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_urls_against_brute_force(spark, broadcast_bytes):
+    """Random hosts and paths, deep and long ones, with rules deeper than some of them; rules by broadcast and by salted join."""
+    rng = random.Random(4)
+    host = lambda n: ".".join(rng.choice("ab") for _ in range(n))
+    path = lambda n: "/" + "".join(rng.choice(["a/", "b/", "/"]) for _ in range(n))
+    rules = list({(host(rng.randrange(1, 5)), path(rng.randrange(4)) + rng.choice(["", "a"])): rng.choice(["allow", "block"]) for _ in range(60)}.items())
+    rules = [(h, p, v) for (h, p), v in rules]
+    found = [f"http://{host(rng.randrange(1, 8))}{path(rng.randrange(8))}{rng.choice(['', 'x', '?q', 'ab'])}" for _ in range(300)]
+    found += ["http://" + "a." * 5000 + "b" + "/b" * 20_000, "http://a.b/a/b/" + "c/" * 20_000]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(list(enumerate(found)), "page_id long, url string"), urls.rule_table(spark, rules), broadcast_bytes=broadcast_bytes).collect()}
+    for i, url in enumerate(found):
+        h, _, p = url.removeprefix("http://").partition("/")
+        p = "/" + p.partition("?")[0]
+        fits = [(len(a + b), len(a), v == "allow", a + b) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        assert got[i].rule == (max(fits)[3] if fits else None), url[:100]
+    assert len(got) == len(found)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="cookie-notice"><p>We use cookies, accept them now please.</p></div>
 <div id="content"><h1>A  title &amp; more</h1><p>First <b>long paragraph, with</b> some words. And<br>more of them, enough to matter.
