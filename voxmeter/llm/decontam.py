@@ -11,14 +11,15 @@ cover the threshold of an item's words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from voxmeter.llm.common import cut
 
 WORD = re.compile(r"\w+")
 #: Characters of benchmark text broadcast at once; a larger benchmark is taken in several such shards.
@@ -26,15 +27,28 @@ SHARD_CHARS = 20_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse, mod 2**64."""
+    if len(_powers[0]) < n:
+        for k, x in enumerate((BASE, INVERSE)):
+            own = np.full(2 * n, x, dtype=np.uint64)
+            own[0] = 1
+            _powers[k] = np.multiply.accumulate(own)
+    return _powers[0], _powers[1]
+
+
 def rolled(ids: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin hashes (mod 2**64) of all windows of n."""
+    """Karp-Rabin hashes (mod 2**64) of all windows of n, each from the sums up to its ends: no window is hashed anew, whatever its length."""
     if len(ids) < n:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(ids) - n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            out = out * BASE + (ids[k : len(ids) - n + 1 + k].astype(np.uint64) + np.uint64(1))
-    return out
+        power, inverse = powers(len(ids))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * inverse[: len(ids)], dtype=np.uint64)])
+        return (sums[n:] - sums[: len(sums) - n]) * power[n - 1 : len(ids)]
 
 
 class Benchmark:
@@ -46,6 +60,7 @@ class Benchmark:
         kept = [(i, w) for i, t in items if (w := WORD.findall((t or "").lower()))]
         self.item_ids = [i for i, _ in kept]
         self.items = [np.array([self.words.setdefault(w, len(self.words)) for w in ws], dtype=np.int64) for _, ws in kept]
+        self.sizes = np.array([len(x) for x in self.items], dtype=np.int64)
         seeds = [rolled(x, min(min_match, len(x))) for x in self.items]
         key, item, place = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (seeds, [np.full(len(s), i) for i, s in enumerate(seeds)], [np.arange(len(s)) for s in seeds]))
         order = np.argsort(key, kind="stable")
@@ -56,27 +71,26 @@ class Benchmark:
 
     def likely(self, ids: np.ndarray, threshold: float) -> list[int]:
         """Items whose seeds in this document cover at least the threshold: no tiling covers more than its seeds do."""
-        found: set[int] = set()
-        covered: set[int] = set()
+        seeds = []
         for n in self.lengths:
             known = ids >= 0
-            if n > len(ids):
+            if n > len(ids) or not len(self.distinct):
                 continue
             whole = np.convolve(known, np.ones(n, dtype=np.int64), "valid") == n
             keys = np.unique(rolled(ids, n)[whole])
             at = np.searchsorted(self.distinct, keys)
             at[at == len(self.distinct)] = 0
-            for k in at[self.distinct[at] == keys] if len(self.distinct) else ():
-                covered.update(range(self.first[k], self.first[k] + self.count[k]))
-        if not covered:
+            seeds.append(at[self.distinct[at] == keys])
+        seeds = np.unique(np.concatenate(seeds)) if seeds else np.zeros(0, dtype=np.int64)
+        if not len(seeds):
             return []
-        at = np.fromiter(covered, dtype=np.int64)
+        count = self.count[seeds]
+        # The places of all seeds: runs of count from first on.
+        at = np.repeat(self.first[seeds] - np.cumsum(count) + count, count) + np.arange(count.sum())
         spots = np.unique(np.concatenate([(self.item[at] << 32) + self.place[at] + k for k in range(self.min_match)]))
         items, n = np.unique(spots >> 32, return_counts=True)
-        for i, c in zip(items.tolist(), n.tolist(), strict=True):
-            if min(c, len(self.items[i])) >= threshold * len(self.items[i]):
-                found.add(i)
-        return sorted(found)
+        size = self.sizes[items]
+        return items[np.minimum(n, size) >= threshold * size].tolist()
 
 
 def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> int:
@@ -113,11 +127,20 @@ def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> int:
         if longest > 2 * length:
             length = longest  # look for the longest ones first
             continue
-        for n, i, j in sorted(matches):
-            if free_doc[i : i - n].all() and free_item[j : j - n].all():
+        heapify(matches)
+        while matches:
+            n, i, j = heappop(matches)
+            free = free_doc[i : i - n] & free_item[j : j - n]
+            if free.all():
                 free_doc[i : i - n] = free_item[j : j - n] = False
                 covered -= n
-        if not matches:
+                continue
+            # What longer tiles have left of a match waits its turn.
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for a, b in edges.reshape(-1, 2).tolist():
+                if b - a >= length:
+                    heappush(matches, (a - b, i + a, j + a))
+        if not longest:
             length = length // 2 if length // 2 >= least or length == least else least
     return covered
 
@@ -139,59 +162,59 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, chars: int) -> Iter
         yield [(r["id"], r["text"]) for r in own.orderBy("id", "text").toLocalIterator()]
 
 
-def match_shard(docs: DataFrame, items: list[tuple[int, str]], min_match: int, threshold: float) -> DataFrame:
-    """doc columns but the text, and item_ids, coverage of this shard."""
-    names = [*docs.columns[:-1], "item_ids", "coverage"]
-    schema = docs.drop(docs.columns[-1]).schema.add("item_ids", T.ArrayType(T.LongType())).add("coverage", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, min_match))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = shared.value
-        for batch in batches:
-            found, share = [], []
-            for text in batch.column(batch.num_columns - 1):
-                own = coverages(bench, text.as_py(), min_match, threshold)
-                found.append(sorted({i for c, i in own if c >= threshold}))
-                share.append(max((c for c, _ in own), default=0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64())), pa.array(share, pa.float64())], names=names)
-
-    return docs.mapInArrow(task, schema)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 3, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending) and coverage (of the item covered most, 0 if none comes near) of every row.
 
     Words are runs of letters, digits and underscores, lower-cased. Null and empty texts are
     clean; items without a word or id are skipped; an item shorter than ``min_match`` words
     must occur as a whole; repeated rows are judged alike, an item that occurs twice in the
-    benchmark counts once; texts of any length are read whole; an empty benchmark leaves all
-    clean; an empty table gives no rows.
+    benchmark counts once; of tiles of one length the first in the document, then in the item,
+    is laid first; texts of any length are read whole; other columns are ignored; an empty
+    benchmark leaves all clean; an empty table gives no rows. A benchmark of several shards is
+    taken shard by shard, and what was found goes along with the rows.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    parts = [match_shard(rows, items, min_match, threshold) for items in shards(benchmark, "item_id", "text", shard_chars)]
-    if len(parts) == 1:
-        out = parts[0]
-    else:
-        # A repeated row is judged once per shard; its copies come back as they were counted.
-        each = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-        parts = [match_shard(each, items, min_match, threshold) for items in shards(benchmark, "item_id", "text", shard_chars)]
-        union = reduce(DataFrame.unionByName, [p.withColumn("shard", F.lit(k)) for k, p in enumerate(parts)])
-        out = union.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("item_ids") > 0, F.col("item_ids")))))).alias("item_ids"), F.max("coverage").alias("coverage"), F.count_if(F.col("shard") == 0).alias("n"))
-        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("coverage"), docs[text_col].alias("text"))
+
+    def task(shared) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = shared.value
+            for batch in batches:
+                found, share = [], []
+                for known, most, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                    own = coverages(bench, text.as_py(), min_match, threshold)
+                    found.append(sorted({*known, *(i for c, i in own if c >= threshold)}))
+                    share.append(max([most, *(c for c, _ in own)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(share, pa.float64()), batch.column(3)], names=batch.schema.names)
+
+        return run
+
+    out = by_shard(rows, benchmark, min_match, shard_chars, task)
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "coverage")
 
 
+def by_shard(rows: DataFrame, benchmark: DataFrame, min_match: int, chars: int, task: Callable) -> DataFrame:
+    """Rows after the task of every shard; no more than one shard is broadcast at a time."""
+    before = None
+    for items in shards(benchmark, "item_id", "text", chars):
+        if before is not None:
+            rows = cut(rows)
+            before.unpersist()
+        before = rows.sparkSession.sparkContext.broadcast(Benchmark(items, min_match))
+        rows = rows.mapInArrow(task(before), rows.schema)
+    return rows
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 3, threshold: float = 0.6, text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; the same rules as ``decontaminate``. Nothing is shuffled."""
     at = docs.columns.index(text_col)
-    for items in shards(benchmark, "item_id", "text", shard_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, min_match))
 
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def task(shared) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = shared.value
             for batch in batches:
                 keep = [not any(c >= threshold for c, _ in coverages(bench, t.as_py(), min_match, threshold)) for t in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(task, docs.schema)
-    return docs
+        return run
+
+    return by_shard(docs, benchmark, min_match, shard_chars, task)
