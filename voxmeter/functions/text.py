@@ -89,7 +89,8 @@ def nfc(c: Column) -> Column:
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    return F.pandas_udf(f, "string")(c)
+    # Below U+0300 there is no combining mark and nothing that NFC changes: such texts never leave the JVM.
+    return F.coalesce(F.pandas_udf(f, "string")(F.when(F.regexp_like(c, F.lit(r"[^\x{0}-\x{2FF}]")), c)), c)
 
 
 def without_accents(c: Column) -> Column:

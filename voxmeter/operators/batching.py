@@ -8,16 +8,24 @@ from pyspark.sql.window import Window as W
 
 from voxmeter.constants import MAX_BATCH, PROMPT_TOKENS, TOKENS_PER_COMMENT, TOKENS_PER_REQUEST
 from voxmeter.functions.text import batch_tokens, estimate_tokens
+from voxmeter.sources.scratch import cut
+
+#: monotonically_increasing_id() is the partition's number and, in this many lower bits, the row's place in it.
+PLACE_BITS = 33
+
+
+def range_sorted(df: DataFrame, *order: str) -> DataFrame:
+    """Range partitions sorted by the order, written once, with __p, the partition, and __r, the row's place in it from 0."""
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    return rows.withColumns({"__p": F.shiftright("__m", PLACE_BITS), "__r": F.col("__m").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}).drop("__m")
 
 
 def with_row_index(df: DataFrame, order: str) -> DataFrame:
-    """Adds __i, the row's place in the order from 0: rows are range-partitioned, numbered within their partitions, and shifted by the partitions' sizes."""
-    spread = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    numbered = spread.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(order)))
+    """Adds __i, the row's place in the order from 0: its place in its range partition, shifted by the sizes of the partitions before."""
+    rows = range_sorted(df, order)
     # One row per partition.
-    sizes = numbered.groupBy("__p").agg(F.count("*").alias("n"))
-    offsets = sizes.alias("a").join(F.broadcast(sizes).alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
-    return numbered.join(F.broadcast(offsets), "__p").withColumn("__i", F.col("offset") + F.col("__r") - 1).drop("__p", "__r", "offset")
+    offsets = rows.groupBy("__p").agg(F.count("*").alias("n")).select("__p", (F.sum("n").over(W.orderBy("__p")) - F.col("n")).alias("offset"))
+    return rows.join(F.broadcast(offsets), "__p").withColumn("__i", F.col("offset") + F.col("__r")).drop("__p", "__r", "offset")
 
 
 def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:
@@ -28,9 +36,13 @@ def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:
 def token_batches(df: DataFrame, order: str, text: str, by: str, budget: int = TOKENS_PER_REQUEST) -> DataFrame:
     """Adds batch_no within each ``by`` so that each batch's comments fit the budget; nothing is left out. A comment is in the batch in which its running token sum begins."""
     room = int((budget / 1.5 - PROMPT_TOKENS) * 0.9)
-    tokens = estimate_tokens(F.coalesce(text, F.lit("")))
-    before = F.sum("tokens").over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tokens")
-    return df.withColumn("tokens", tokens).withColumn("batch_no", F.floor(before / room).cast("long"))
+    rows = range_sorted(df.withColumn("tokens", estimate_tokens(F.coalesce(text, F.lit("")))), by, order)
+    # A hot key lies in many range partitions: sums run within each, and sums of whole partitions are added.
+    running = F.sum("tokens").over(W.partitionBy("__p", by).orderBy("__r")) - F.col("tokens")
+    parts = rows.groupBy(F.col(by).alias("__by"), F.col("__p").alias("__q")).agg(F.sum("tokens").alias("__n"))
+    offsets = parts.withColumn("__before", F.sum("__n").over(W.partitionBy("__by").orderBy("__q")) - F.col("__n")).drop("__n")
+    out = rows.withColumn("__running", running).join(offsets, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__p") == F.col("__q")))
+    return out.withColumn("batch_no", F.floor((F.col("__running") + F.col("__before")) / room).cast("long")).select(*df.columns, "tokens", "batch_no")
 
 
 def batch_token_totals(df: DataFrame, text: str, by: str = "batch_id") -> DataFrame:

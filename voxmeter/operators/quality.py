@@ -12,9 +12,12 @@ from voxmeter.operators.reports import share
 
 def require_size(df: DataFrame, least: int = MIN_ROWS, most: int | None = MAX_ROWS) -> DataFrame:
     """The table, or an error if it has too few rows, or too many where a limit is set."""
-    n = df.count()
+    if most is None and least <= 1:
+        n = 0 if df.isEmpty() else 1
+    else:
+        n = df.limit(max(least, most + 1) if most is not None else least).count()  # no more rows are needed to know
     if n < least or (most is not None and n > most):
-        raise ValueError(f"{n} rows, allowed are {least} to {most}")
+        raise ValueError(f"{'no' if not n else 'too few' if n < least else 'too many'} rows, allowed are {least} to {most}")
     return df
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmeter.constants import EMOTIONS, LEXICON_EMOTIONS
+from voxmeter.constants import EMOTIONS, LEXICON_EMOTIONS, MAX_BATCH
 from voxmeter.functions import churn, emotion, nps, pain
 from voxmeter.functions.text import has_negative_word, lexicon_sentiment
 
@@ -27,23 +27,26 @@ def lexicon_scores(df: DataFrame, comment: str = "comment") -> DataFrame:
     return out.withColumns({"pain_points": F.when(bad, F.array(F.lit("mock_pain_point"))).otherwise(F.array().cast("array<string>")), "churn_risk": F.when(bad, 0.85).otherwise(0.2)})
 
 
-def score_comments(df: DataFrame, scorer: Scorer, comment: str = "comment", key: str = "comment_id", retries: int = 3) -> DataFrame:
-    """(key, content, is_fallback): each comment's response as JSON text from ``scorer``, which gets a batch of comments at a time.
+def score_comments(df: DataFrame, scorer: Scorer, comment: str = "comment", key: str = "comment_id", retries: int = 3, batch_size: int = MAX_BATCH) -> DataFrame:
+    """(key, content, is_fallback): each comment's response as JSON text from ``scorer``, which gets at most ``batch_size`` comments at a time.
 
     A scorer that raises is asked again up to ``retries`` times; after that, and where it
     gives too few answers, the answer is the default one.
     """
 
+    def asked(texts: list[str]) -> list:
+        for _ in range(retries):
+            try:
+                answers = list(scorer(texts))
+                return (answers + [None] * len(texts))[: len(texts)]
+            except Exception:  # noqa: BLE001  the contract: a scorer's failure is a fallback, never an error
+                continue
+        return [None] * len(texts)
+
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, answers = frame[comment].fillna("").tolist(), []
-            for _ in range(retries):
-                try:
-                    answers = list(scorer(texts))
-                    break
-                except Exception:  # noqa: BLE001  the contract: a scorer's failure is a fallback, never an error
-                    continue
-            answers = (answers + [None] * len(texts))[: len(texts)]
+            texts = frame[comment].fillna("").tolist()
+            answers = [a for k in range(0, len(texts), batch_size) for a in asked(texts[k : k + batch_size])]
             texts_of = [a if isinstance(a, str) else json.dumps(DEFAULT if a is None else a, ensure_ascii=False) for a in answers]
             yield pd.DataFrame({key: frame[key], "content": texts_of, "is_fallback": [a is None for a in answers]})
 

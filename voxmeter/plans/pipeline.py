@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmeter.constants import EMOTIONS, MAX_ROWS
-from voxmeter.functions import churn, nps, pain, text
+from voxmeter.constants import EMOTIONS, MAX_BATCH, MAX_ROWS
+from voxmeter.functions import churn, nps, pain, responses, text
 from voxmeter.functions.emotion import clamp, dominant, sentiment_confidence, spread, with_categories
-from voxmeter.operators import quality, reports, scoring
+from voxmeter.operators import batching, quality, reports, scoring
 from voxmeter.sources import io
 
 
 def clean(df: DataFrame) -> DataFrame:
     """Comments, ratings and NPS cleaned; rows without a usable comment go. Columns comment, nps_raw and nota."""
-    out = df.where(F.col("comment").isNotNull()).withColumns({"comment": text.clean_comment(F.col("comment")), "nps": text.nps_parse(F.col("nps_raw")), "nota": text.to_number(F.col("nota"))})
-    return out.withColumn("nota", F.when(F.col("nota") >= 0, F.col("nota"))).where(text.valid_comment(F.col("comment")))
+    # An array of the cleaned comment, or of nothing: it is made once, for the value and for the filter.
+    usable = F.filter(F.array(text.clean_comment(F.col("comment"))), lambda c: text.valid_comment(c))
+    out = df.where(F.col("comment").isNotNull()).withColumn("comment", F.explode(usable))
+    out = out.withColumns({"nps": text.nps_parse(F.col("nps_raw")), "nota": text.to_number(F.col("nota"))})
+    return out.withColumn("nota", F.when(F.col("nota") >= 0, F.col("nota")))
 
 
 def validate(df: DataFrame, max_rows: int | None = MAX_ROWS) -> dict[str, DataFrame]:
@@ -28,13 +31,25 @@ def validate(df: DataFrame, max_rows: int | None = MAX_ROWS) -> dict[str, DataFr
 def normalize(df: DataFrame, comment: str = "comment") -> DataFrame:
     """The comment fully, and every other text column that has a letter somewhere lightly."""
     others = [c for c, kind in df.dtypes if kind == "string" and c != comment]
-    lettered = df.agg(*[F.max(F.regexp_like(c, F.lit(r"\p{L}"))).alias(c) for c in others]).first().asDict() if others else {}
-    return df.withColumns({comment: text.normalize_text(F.col(comment)), **{c: text.normalize_light(F.col(c)) for c in others if lettered[c]}})
+    out = df.withColumn(comment, text.normalize_text(F.col(comment)))
+    if not others:
+        return out
+    # One row that says for each column whether it has a letter.
+    lettered = df.agg(*[F.max(F.regexp_like(c, F.lit(r"\p{L}"))).alias(f"__{c}") for c in others])
+    light = {c: F.when(F.col(f"__{c}"), text.normalize_light(F.col(c))).otherwise(F.col(c)) for c in others}
+    return out.crossJoin(F.broadcast(lettered)).withColumns(light).drop(*lettered.columns)
 
 
-def analyze(df: DataFrame) -> DataFrame:
-    """Lexicon scores with their values in range, and the NPS category."""
-    out = scoring.lexicon_scores(df)
+def scored_by(df: DataFrame, scorer: scoring.Scorer) -> DataFrame:
+    """``df`` with what the scorer says of each comment, in the form of the lexicon's scores; ``comment_id`` is unique."""
+    said = scoring.score_comments(df, scorer).select("comment_id", "content", F.lit(1).alias("expected_count"))
+    answers = responses.normalized(responses.response_rows(said)).drop("expected_count", "pos", "is_fallback")
+    return df.join(answers, "comment_id")
+
+
+def analyze(df: DataFrame, scorer: scoring.Scorer | None = None) -> DataFrame:
+    """Scores, by the lexicon if no scorer is given, with their values in range, and the NPS category."""
+    out = scoring.lexicon_scores(df) if scorer is None else scored_by(df, scorer)
     out = out.withColumns({e: clamp(F.col(e)) for e in EMOTIONS} | {"churn_risk": churn.base(F.col("churn_risk")), "pain_points": pain.clean(F.col("pain_points"))})
     return out.withColumn("nps_category", nps.category(F.col("nps")))
 
@@ -47,12 +62,18 @@ def enrich(df: DataFrame) -> DataFrame:
     return out.withColumns({"customer_risk_level": churn.customer_risk(*derived), "retention_priority": churn.retention_priority(*derived)})
 
 
-def run_pipeline(spark: SparkSession, path: str, comment_id: str | None = None) -> dict[str, DataFrame]:
-    """A comment file to its enriched rows, summary and metrics."""
-    raw = io.rename_columns(io.read_comments(spark, path))
-    io.require_columns(raw)
+def run_pipeline(spark: SparkSession, path: str, comment_id: str | None = None, scorer: scoring.Scorer | None = None, batch_size: int = MAX_BATCH, max_rows: int | None = None) -> dict[str, DataFrame]:
+    """A comment file to its enriched rows, the reports of its columns, summary and metrics.
+
+    Reads, cleans, validates (an error if a column is missing, no row is left, or more than
+    ``max_rows`` are), normalises, batches, scores and enriches. ``comment_id`` names a column
+    of unique ids; without it rows are numbered. The batched rows are written to the shared
+    folder, so that what a scorer says meets the rows it was asked about.
+    """
+    raw = io.require_columns(io.rename_columns(io.read_comments(spark, path)))
     df = raw.withColumnsRenamed({"NPS": "nps_raw", "Nota": "nota", "Comentario Final": "comment"})
-    if comment_id is None:
-        df = df.withColumn("comment_id", F.monotonically_increasing_id())
-    out = enrich(analyze(normalize(clean(df))))
-    return {"results": out, "summary": reports.run_summary(out), "metrics": reports.run_metrics(out)}
+    df = df.withColumn("comment_id", F.monotonically_increasing_id()) if comment_id is None else df.withColumnRenamed(comment_id, "comment_id")
+    cleaned = clean(df)
+    checks = validate(cleaned, max_rows)
+    out = enrich(analyze(batching.fixed_batches(normalize(cleaned), "comment_id", batch_size), scorer))
+    return {"results": out, "summary": reports.run_summary(out), "metrics": reports.run_metrics(out)} | {f"{k}_check": v for k, v in checks.items()}

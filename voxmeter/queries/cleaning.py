@@ -10,6 +10,7 @@ from voxmeter.operators import quality
 from voxmeter.plans import pipeline
 from voxmeter.queries.registry import HELPERS, query
 from voxmeter.sources import io
+from voxmeter.sources.scratch import scratch_path
 
 L = "[" + text.LETTERS + "]"
 
@@ -49,12 +50,76 @@ def valid_sql(c: str) -> str:
     return f"(length({c}) >= 5 AND regexp_replace({c}, '^\\s+|\\s+$', '', 'g') <> '' AND regexp_matches({c}, '{L}'))"
 
 
+def light_sql(c: str) -> str:
+    return sub(nested(sub(c, r"\s+", " "), K.MOJIBAKE), r"^\s+|\s+$", "")
+
+
+def fix_sql(c: str) -> str:
+    return sub(sub(sub(c, r"([.!?]){2,}", r"\1"), r"\s+([.!?,:;])", r"\1"), rf"([.!?])\s*({L})", r"\1 \2")
+
+
+def chat_sql(c: str) -> str:
+    """Words of one letter spelled out; twice, as a match takes the sign after it along."""
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    for short, word in (("q", "que"), ("x", "por"), ("k", "que")):
+        for _ in range(2):
+            c = sub(c, rf"(^|{edge})[{short}{short.upper()}]($|{edge})", rf"\1{word}\2")
+    return c
+
+
+#: The characters of list l without the third and later ones of a run, other than of l and r: RE2 has no back-references.
+SHORT_RUNS = "array_to_string(list_filter(l, lambda x, i: i < 3 OR x IN ('l', 'r') OR x <> l[i - 1] OR x <> l[i - 2]), '')"
+
+
+def marks_sql(c: str) -> str:
+    return sub(f"translate({c}, '„‚—–', '\"''--')", r"\.{3,}", "...")
+
+
+def full_sql(table: str, others: str) -> str:
+    """The table's comments fully normalised."""
+    before = nested(sub(nested("comment", K.MOJIBAKE), "<[^>]+>", ""), K.ENTITIES)
+    before = chat_sql(fix_sql(sub(f"nfc_normalize({before})", r"\s+", " ")))
+    return f"SELECT {others}, {sub(marks_sql(SHORT_RUNS), r'^\s+|\s+$', '')} AS comment FROM (SELECT *, string_split({before}, '') AS l FROM {table})"
+
+
 HELPERS["cleaned"] = f"SELECT * FROM (SELECT comment_id, lang, source, nps_raw, CASE WHEN nota >= 0 THEN nota END AS nota, {clean_sql('comment')} AS comment, {nps_sql('nps_raw')} AS nps FROM comments WHERE comment IS NOT NULL) WHERE {valid_sql('comment')}"
 
 
+def comment_file(t, rows=None) -> str:
+    """The comments as a CSV file with other column names."""
+    path = scratch_path(t.spark, "comments") + ".csv"
+    rows = t.comments if rows is None else rows
+    named = rows.select(F.col("nps_raw").alias(" Puntaje NPS "), F.col("nota").alias("Valoración"), F.col("comment").alias("Comentario Final Limpio"), "comment_id", "lang", "source")
+    io.write_csv({"Comentarios": named}, path)
+    return path
+
+
 @query("SELECT comment_id, nps_raw, nota, comment FROM comments")
 def a1_read_comments(t):
-    return t.comments.select("comment_id", "nps_raw", "nota", "comment")
+    read = io.rename_columns(io.read_comments(t.spark, comment_file(t)))
+    return read.select(F.col("comment_id").cast("long"), F.col("NPS").alias("nps_raw"), text.to_number(F.col("Nota")).alias("nota"), F.col("Comentario Final").alias("comment"))
+
+
+@query("SELECT 'whole' AS file, count(*) AS n_rows, true AS has_required, '' AS missing FROM comments UNION ALL SELECT 'part', count(*), false, 'Nota,Comentario Final' FROM comments")
+def a2_required_columns(t):
+    read = io.rename_columns(io.read_comments(t.spark, comment_file(t)))
+    one = lambda name, df: io.table_info(df).select(F.lit(name).alias("file"), "n_rows", "has_required", F.array_join("missing", ",").alias("missing"))
+    return one("whole", read).unionByName(one("part", read.drop("Nota", "Comentario Final")))
+
+
+@query("SELECT comment_id, nps, churn_risk, sentiment, replace(pain_points_csv, '|', ', ') AS pain_points FROM analysis")
+def a5_write_csv(t):
+    path = scratch_path(t.spark, "report") + ".csv"
+    io.write_csv({"Resumen": t.analysed.limit(1), "Analisis_Completo": t.analysed.select("comment_id", "nps", "churn_risk", "sentiment", "pain_points")}, path)
+    return io.read_comments(t.spark, path).select(F.col("comment_id").cast("long"), F.col("nps").cast("double"), F.col("churn_risk").cast("double"), "sentiment", F.coalesce("pain_points", F.lit("")).alias("pain_points"))
+
+
+@query("SELECT 'Analisis_Completo' AS dataset, comment_id, churn_risk, pain_points_csv AS pain_points FROM analysis UNION ALL SELECT 'Altos', comment_id, churn_risk, NULL FROM analysis WHERE churn_risk > 0.7")
+def a6_write_json(t):
+    path, a = scratch_path(t.spark, "report"), t.analysed.select("comment_id", "churn_risk", "pain_points")
+    io.write_json({"Analisis_Completo": a, "Altos": a.where("churn_risk > 0.7").drop("pain_points")}, path)
+    read = lambda name: t.spark.read.json(f"{path}/{name}").withColumn("dataset", F.lit(name))
+    return read("Analisis_Completo").withColumn("pain_points", F.array_join("pain_points", "|")).unionByName(read("Altos"), allowMissingColumns=True)
 
 
 @query("SELECT count(*) AS n_rows, 6 AS n_columns, 'comment_id,lang,source,nps_raw,nota,comment' AS column_names, true AS has_required, '' AS missing FROM comments")
@@ -119,7 +184,7 @@ def c3_valid_comments(t):
     return t.comments.where(text.valid_comment(F.col("comment"))).select("comment_id", "comment")
 
 
-@query()
+@query("SELECT comment_id FROM comments")
 def c4_require_size(t):
     return quality.require_size(t.comments, most=None).select("comment_id")
 
@@ -175,15 +240,12 @@ def d6_normalize_space(t):
     return t.comments.select("comment_id", text.normalize_space(F.col("comment")).alias("comment"))
 
 
-D7 = sub(sub(sub("comment", r"([.!?]){2,}", r"\1"), r"\s+([.!?,:;])", r"\1"), rf"([.!?])\s*({L})", r"\1 \2")
-
-
-@query(f"SELECT comment_id, {D7} AS comment FROM comments")
+@query(f"SELECT comment_id, {fix_sql('comment')} AS comment FROM comments")
 def d7_fix_punctuation(t):
     return t.comments.select("comment_id", text.fix_punctuation(F.col("comment")).alias("comment"))
 
 
-@query()
+@query(f"SELECT comment_id, {SHORT_RUNS} AS comment FROM (SELECT comment_id, string_split({chat_sql(fix_sql('comment'))}, '') AS l FROM comments)")
 def d7_fix_common(t):
     return t.comments.select("comment_id", text.fix_common(F.col("comment")).alias("comment"))
 
@@ -193,7 +255,7 @@ def d8_standard_marks(t):
     return t.comments.select("comment_id", text.standard_marks(F.col("comment")).alias("comment"))
 
 
-@query()
+@query(full_sql("comments", "comment_id"))
 def d9_normalize_text(t):
     return t.comments.select("comment_id", text.normalize_text(F.col("comment")).alias("comment"))
 
@@ -248,6 +310,9 @@ def p1_clean(t):
     return pipeline.clean(t.comments)
 
 
-@query()
+HELPERS["normal"] = full_sql("cleaned", f"comment_id, nota, nps, {', '.join(f'{light_sql(c)} AS {c}' for c in ('lang', 'source', 'nps_raw'))}")
+
+
+@query("SELECT comment_id, lang, source, nps_raw, nota, comment, nps FROM normal")
 def p3_normalize(t):
     return pipeline.normalize(pipeline.clean(t.comments))

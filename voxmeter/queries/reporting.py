@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from voxmeter import constants as K
 from voxmeter.functions import nps, responses, text
-from voxmeter.operators import quality, reports
+from voxmeter.operators import quality, reports, scoring
 from voxmeter.plans import pipeline
-from voxmeter.queries.cleaning import n_of, sub
-from voxmeter.queries.registry import HELPERS, query, rounded
-from voxmeter.queries.scoring import ALIGNMENT, ALIGNMENT_SCORE, CONFIDENCE, INFER, PAIN_CATEGORY, rated
+from voxmeter.queries.cleaning import comment_file, n_of, sub
+from voxmeter.queries.registry import HELPERS, ORACLES, query, rounded
+from voxmeter.queries.scoring import ALIGNMENT, ALIGNMENT_SCORE, CONFIDENCE, DOMINANT, INFER, MEAN, PAIN_CATEGORY, PRIORITY, RISK, SENTIMENT_CONFIDENCE, SPREAD, rated
 
 C = F.col
 R = lambda x: f"round({x}, 6)"
@@ -136,17 +136,26 @@ def g15_cleaning_report(t):
 HELPERS["nps_checks"] = "SELECT count(*) AS total, count_if(nps IS NULL) AS missing, count_if(nps < 0 OR nps > 10) AS out_of_range, count(DISTINCT nps) AS distinct_values FROM analysis"
 
 
-@query("SELECT *, round_even(missing * 100.0::DOUBLE / total, 1) AS missing_pct, CASE WHEN missing * 2 > total THEN 'error' WHEN missing > 0 THEN 'warning' ELSE 'ok' END AS missing_status, missing = total AS all_missing, CASE WHEN out_of_range > 0 THEN 'error' ELSE 'ok' END AS range_status, CASE WHEN missing < total AND distinct_values < 3 THEN 'warning' ELSE 'ok' END AS diversity_status FROM nps_checks")
+NPS_CHECK = "SELECT *, round_even(missing * 100.0::DOUBLE / total, 1) AS missing_pct, CASE WHEN missing * 2 > total THEN 'error' WHEN missing > 0 THEN 'warning' ELSE 'ok' END AS missing_status, missing = total AS all_missing, CASE WHEN out_of_range > 0 THEN 'error' ELSE 'ok' END AS range_status, CASE WHEN missing < total AND distinct_values < 3 THEN 'warning' ELSE 'ok' END AS diversity_status FROM nps_checks"
+
+
+@query(NPS_CHECK)
 def g16_validate_nps(t):
     return quality.validate_nps(t.analysis)
 
 
-@query("SELECT total, missing, negative, round_even(missing * 100.0::DOUBLE / total, 1) AS missing_pct, CASE WHEN missing * 10 > total * 3 THEN 'warning' ELSE 'ok' END AS missing_status, CASE WHEN negative > 0 THEN 'warning' ELSE 'ok' END AS range_status FROM (SELECT count(*) AS total, count_if(nota IS NULL) AS missing, count_if(nota < 0) AS negative FROM comments)")
+RATING_CHECK = "SELECT total, missing, negative, round_even(missing * 100.0::DOUBLE / total, 1) AS missing_pct, CASE WHEN missing * 10 > total * 3 THEN 'warning' ELSE 'ok' END AS missing_status, CASE WHEN negative > 0 THEN 'warning' ELSE 'ok' END AS range_status FROM (SELECT count(*) AS total, count_if(nota IS NULL) AS missing, count_if(nota < 0) AS negative FROM comments)"
+
+
+@query(RATING_CHECK)
 def g17_validate_rating(t):
     return quality.validate_rating(t.comments)
 
 
-@query("SELECT total, missing, round_even(missing * 100.0::DOUBLE / total, 1) AS missing_pct, short, round_even(short * 100.0::DOUBLE / (total - missing), 1) AS short_pct, long, duplicates, round_even(duplicates * 100.0::DOUBLE / (total - missing), 1) AS duplicate_pct, CASE WHEN missing * 10 > total THEN 'error' WHEN missing > 0 THEN 'warning' ELSE 'ok' END AS missing_status, CASE WHEN duplicates * 20 > total - missing THEN 'many' WHEN duplicates > 0 THEN 'some' ELSE 'none' END AS duplicate_status FROM (SELECT count(*) AS total, count_if(comment IS NULL) AS missing, count_if(length(comment) < 5) AS short, count_if(length(comment) > 1000) AS long, count(comment) - count(DISTINCT comment) AS duplicates FROM comments)")
+COMMENT_CHECK = "SELECT total, missing, round_even(missing * 100.0::DOUBLE / total, 1) AS missing_pct, short, round_even(short * 100.0::DOUBLE / (total - missing), 1) AS short_pct, long, duplicates, round_even(duplicates * 100.0::DOUBLE / (total - missing), 1) AS duplicate_pct, CASE WHEN missing * 10 > total THEN 'error' WHEN missing > 0 THEN 'warning' ELSE 'ok' END AS missing_status, CASE WHEN duplicates * 20 > total - missing THEN 'many' WHEN duplicates > 0 THEN 'some' ELSE 'none' END AS duplicate_status FROM (SELECT count(*) AS total, count_if(comment IS NULL) AS missing, count_if(length(comment) < 5) AS short, count_if(length(comment) > 1000) AS long, count(comment) - count(DISTINCT comment) AS duplicates FROM comments)"
+
+
+@query(COMMENT_CHECK)
 def g18_validate_comments(t):
     return quality.validate_comments(t.comments)
 
@@ -215,6 +224,29 @@ def p2_validate(t):
     return pipeline.validate(t.analysis.join(t.comments.select("comment_id", "nota", "comment"), "comment_id"), max_rows=None)["nps"].select("total", "missing")
 
 
+HELPERS["cleaned_checks"] = HELPERS["nps_checks"].replace("FROM analysis", "FROM cleaned")
+
+
+def checks(t):
+    """The reports of the cleaned comments; the size is checked without an upper limit."""
+    return pipeline.validate(pipeline.clean(t.comments), max_rows=None)
+
+
+@query(NPS_CHECK.replace("FROM nps_checks", "FROM cleaned_checks"))
+def p2_validate_nps(t):
+    return checks(t)["nps"]
+
+
+@query(RATING_CHECK.replace("FROM comments", "FROM cleaned"))
+def p2_validate_rating(t):
+    return checks(t)["rating"]
+
+
+@query(COMMENT_CHECK.replace("FROM comments", "FROM cleaned"))
+def p2_validate_comments(t):
+    return checks(t)["comment"]
+
+
 HELPERS["run_counts"] = HELPERS["nps_counts"].replace("FROM rated", "FROM enriched")
 
 
@@ -224,13 +256,70 @@ def nps_score_pipeline(t):
     return reports.nps_score(e).select("nps_score", "interpretation", "total_responses", "valid_responses", "promoter", "passive", "detractor")
 
 
-@query()
+HELPERS["run_scored"] = HELPERS["scored"].replace("FROM cleaned", "FROM normal")
+HELPERS["run_lexicon"] = HELPERS["lexicon"].replace("FROM scored", "FROM run_scored")
+HELPERS["run_enriched"] = HELPERS["enriched"].replace("FROM lexicon", "FROM run_lexicon")
+RUN = f"""SELECT comment_id, lang, source, nota, comment, nps, nps_was_inferred, nps_category, {', '.join(K.EMOTIONS)}, churn_risk, sentiment, {', '.join(f'round({MEAN(v)}, 6) AS emo_category_{k}' for k, v in K.CATEGORIES.items())},
+ CAST(n AS INT) AS pain_point_count, CASE WHEN n = 1 THEN 'mock_pain_point' ELSE '' END AS pain_points_text, {DOMINANT} AS dominant_emotion, round({SPREAD}, 6) AS emotion_intensity, round({SENTIMENT_CONFIDENCE}, 6) AS sentiment_confidence, {RISK} AS customer_risk_level, {PRIORITY} AS retention_priority,
+ (row_number() OVER (ORDER BY CAST(comment_id AS VARCHAR)) - 1) // 80 AS batch_id, CAST((row_number() OVER (ORDER BY CAST(comment_id AS VARCHAR)) - 1) % 80 AS INT) AS pos FROM run_enriched"""
+
+
+def whole_run(t, scorer=None):
+    return pipeline.run_pipeline(t.spark, comment_file(t), "comment_id", scorer, batch_size=80)
+
+
+@query(RUN)
 def p6_run_pipeline(t):
-    """The whole chain with full normalisation, to enriched rows."""
-    return pipeline.enrich(pipeline.analyze(pipeline.normalize(pipeline.clean(t.comments)))).drop("nps_raw")
+    """The whole chain, from a file with other column names to enriched rows."""
+    out = whole_run(t)["results"].drop("nps_raw", "pain_points").withColumn("comment_id", C("comment_id").cast("long"))
+    return rounded(out, 6, "emotion_intensity", "sentiment_confidence", *[f"emo_category_{k}" for k in K.CATEGORIES])
+
+
+@query(f"SELECT comment_id, sentiment, churn_risk, alegria, enojo, nps, {RISK} AS customer_risk_level FROM run_enriched")
+def p6_run_with_scorer(t):
+    """The same with a scorer of the user's."""
+    out = whole_run(t, scoring.lexicon_scorer)["results"]
+    return out.select(C("comment_id").cast("long"), "sentiment", "churn_risk", "alegria", "enojo", "nps", "customer_risk_level")
+
+
+RUN_MEANS = " UNION ALL ".join(f"SELECT {i} AS i, '{e}' AS emotion, avg({e}) AS mean FROM run_enriched" for i, e in enumerate(K.EMOTIONS))
+HELPERS["run_means"] = RUN_MEANS
+
+
+@query("SELECT count(*) AS total, 16 AS n_emotions, round(avg(nps), 6) AS mean_nps, count_if(churn_risk > 0.7) AS high_churn, (SELECT string_agg(emotion, ',' ORDER BY mean DESC, i) FROM (SELECT emotion, round(mean, 9) AS mean, i FROM run_means ORDER BY 2 DESC, i LIMIT 5)) AS top_emotions FROM run_enriched")
+def p6_run_summary(t):
+    return rounded(whole_run(t)["summary"])
+
+
+@query("SELECT 'emotion' AS metric, emotion AS name, round(mean * 100, 2) AS value FROM run_means UNION ALL SELECT 'nps', nps_category, round(count(*) * 100.0 / (SELECT count(*) FROM run_enriched), 6) FROM run_enriched GROUP BY nps_category UNION ALL SELECT 'churn', bin, percentage FROM (" + bins_sql("count_if(churn_risk > 0 AND churn_risk <= 1)").replace("FROM analysis", "FROM run_enriched") + ")")
+def p6_run_metrics(t):
+    return rounded(whole_run(t)["metrics"])
 
 
 @query("SELECT nps_category, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM rated), 6) AS percentage FROM rated GROUP BY nps_category")
 def p7_report_bundle(t):
     return rounded(reports.report_bundle(rated(t))["Resumen_NPS"])
 
+
+@query(f"SELECT comment_id, nps, {', '.join(K.EMOTIONS)}, churn_risk, sentiment, nps_category, CAST(n AS INT) AS n, replace(pain_points_csv, '|', ', ') AS pain_points FROM rated")
+def p7_analisis_completo(t):
+    return reports.report_bundle(rated(t).withColumn("_internal", F.lit(1)))["Analisis_Completo"].withColumn("pain_points", F.array_join("pain_points", ", "))
+
+
+def p7_resumen_emociones(t):
+    return reports.report_bundle(rated(t))["Resumen_Emociones"]
+
+
+def p7_resumen_analisis(t):
+    return rounded(reports.report_bundle(rated(t))["Resumen_Analisis"])
+
+
+@query(bins_sql("count(churn_risk)"))
+def p7_resumen_churn(t):
+    return rounded(reports.report_bundle(rated(t))["Resumen_Churn"])
+
+
+# The same rows as the reports by themselves.
+for dataset, report in ((p7_resumen_emociones, "g2_emotion_summary"), (p7_resumen_analisis, "g13_run_summary")):
+    query()(dataset)
+    ORACLES[dataset.__name__] = ORACLES[report]

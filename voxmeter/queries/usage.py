@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxmeter import constants as K
 from voxmeter.queries.registry import HELPERS, query, rounded
+from voxmeter.sources.scratch import scratch_path
 from voxmeter.streaming import quota, usage
 
 C = F.col
@@ -25,8 +26,11 @@ def j2_usage_trend(t):
     return rounded(usage.usage_trend(t.api_usage).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm")))
 
 
-@query("""SELECT CAST(p.place AS BIGINT) AS place, coalesce(requests, 0) AS requests, coalesce(tokens, 0) AS tokens, round(coalesce(mean_time, 0.0), 6) AS mean_time FROM (SELECT unnest(range(12)) AS place) p LEFT JOIN (
-SELECT least(11, (epoch_us(ts) - (e - 3600000000)) // 300000000) AS place, CAST(sum(requests_made) AS BIGINT) AS requests, CAST(sum(tokens_used) AS BIGINT) AS tokens, avg(processing_time) AS mean_time FROM api_usage, (SELECT max(epoch_us(ts)) AS e FROM api_usage) WHERE epoch_us(ts) > e - 3600000000 GROUP BY 1) g ON p.place = g.place""")
+HELPERS["hour"] = """SELECT CAST(p.place AS BIGINT) AS place, coalesce(requests, 0) AS requests, coalesce(tokens, 0) AS tokens, round(coalesce(mean_time, 0.0), 6) AS mean_time FROM (SELECT unnest(range(12)) AS place) p LEFT JOIN (
+SELECT least(11, (epoch_us(ts) - (e - 3600000000)) // 300000000) AS place, CAST(sum(requests_made) AS BIGINT) AS requests, CAST(sum(tokens_used) AS BIGINT) AS tokens, avg(processing_time) AS mean_time FROM api_usage, (SELECT max(epoch_us(ts)) AS e FROM api_usage) WHERE epoch_us(ts) > e - 3600000000 GROUP BY 1) g ON p.place = g.place"""
+
+
+@query("SELECT * FROM hour")
 def j2_hourly_trend(t):
     return rounded(usage.hourly_trend(t.api_usage))
 
@@ -42,7 +46,20 @@ def j3_retained(t):
     return usage.retained(t.api_usage).select("call_id")
 
 
-@query()
+# A call of every key at each turn: the window's state goes from a key's call to its next.
+REPLAY = """SELECT api_key_id, call_id, us, request_tokens, reason = 'ok' AS accepted, reason, CASE WHEN reason IN ('request limit', 'token limit') THEN (60000000 - (us - start)) / 1000000.0 ELSE 0.0 END::DOUBLE AS wait_seconds, requests AS used_requests, tokens AS used_tokens FROM (
+WITH RECURSIVE numbered AS (SELECT api_key_id, call_id, epoch_us(ts) AS us, tokens_used AS request_tokens, row_number() OVER (PARTITION BY api_key_id ORDER BY ts, call_id) AS k FROM api_usage),
+turns AS (
+ SELECT DISTINCT api_key_id, NULL::BIGINT AS call_id, NULL::BIGINT AS us, NULL::BIGINT AS request_tokens, 0::BIGINT AS k, NULL::BIGINT AS start, 0::BIGINT AS requests, 0::BIGINT AS tokens, '' AS reason FROM numbered
+ UNION ALL
+ SELECT api_key_id, call_id, us, request_tokens, k, start, CASE WHEN reason = 'ok' THEN requests + 1 ELSE requests END, CASE WHEN reason = 'ok' THEN tokens + request_tokens ELSE tokens END, reason FROM (
+  SELECT *, CASE WHEN requests >= 3 THEN 'request limit' WHEN tokens + request_tokens > 30000 THEN 'token limit' WHEN request_tokens > 12000 THEN 'batch too large' ELSE 'ok' END AS reason FROM (
+   SELECT c.*, CASE WHEN t.start IS NULL OR c.us - t.start >= 60000000 THEN c.us ELSE t.start END AS start, CASE WHEN t.start IS NULL OR c.us - t.start >= 60000000 THEN 0 ELSE t.requests END AS requests, CASE WHEN t.start IS NULL OR c.us - t.start >= 60000000 THEN 0 ELSE t.tokens END AS tokens
+   FROM turns t JOIN numbered c ON c.api_key_id = t.api_key_id AND c.k = t.k + 1)))
+SELECT * FROM turns WHERE k > 0)"""
+
+
+@query(REPLAY)
 def j4_j7_quota_replay(t):
     return quota.replay(t.api_usage, rpm=3, tpm=30_000)
 
@@ -123,3 +140,30 @@ def g27_sla_compliance(t):
 @query("SELECT round(r / greatest(s, 1), 6) AS requests_per_second, round(n / greatest(s, 1), 6) AS tokens_per_second, round(n / greatest(r, 1), 6) AS tokens_per_request, round(s * 1000 / greatest(b, 1), 6) AS ms_per_comment FROM (SELECT sum(requests_made) AS r, sum(tokens_used) AS n, sum(processing_time) AS s, sum(batch_size) AS b FROM api_usage)")
 def g28_throughput(t):
     return rounded(usage.throughput(t.api_usage))
+
+
+CURRENT = "(SELECT coalesce(sum(requests_made), 0) AS requests, coalesce(sum(tokens_used), 0) AS tokens, count(*) AS batches FROM api_usage, (SELECT max(epoch_us(ts)) AS e FROM api_usage) WHERE epoch_us(ts) > e - 60000000)"
+LONG = lambda dataset, names, table, place="": " UNION ALL ".join(f"SELECT '{dataset}' AS dataset, '{n}'{place} AS name, round(CAST({n} AS DOUBLE), 6) AS value FROM {table}" for n in names)
+SESSION = ["total_requests", "total_tokens", "total_batches", "mean_batch_size", "total_errors", "rate_limit_incidents", "mean_processing_time"]
+
+
+@query(" UNION ALL ".join([LONG("summary", SESSION, "session"), LONG("trends", ["requests", "tokens", "mean_time"], "hour", " || ' ' || place"), LONG("current", ["requests", "tokens", "batches"], CURRENT), "SELECT 'limits', 'requests_per_minute', 450.0::DOUBLE UNION ALL SELECT 'limits', 'tokens_per_minute', 200000.0::DOUBLE"]))
+def a9_usage_export(t):
+    """The exported files read again, one row per number."""
+    path = scratch_path(t.spark, "usage")
+    usage.export_usage(t.api_usage, path)
+    parts = []
+    for dataset, names in (("summary", SESSION), ("trends", ["requests", "tokens", "mean_time"]), ("current", ["requests", "tokens", "batches"]), ("limits", ["requests_per_minute", "tokens_per_minute"])):
+        place = F.concat(F.lit(" "), C("place").cast("string")) if dataset == "trends" else F.lit("")
+        numbers = F.array(*[F.struct(F.concat(F.lit(n), place).alias("name"), C(n).cast("double").alias("value")) for n in names])
+        parts.append(t.spark.read.json(f"{path}/{dataset}").select(F.lit(dataset).alias("dataset"), F.inline(numbers)))
+    return rounded(usage.union_logs(*parts))
+
+
+@query("SELECT call_id, u.sla_category AS function_name, processing_time AS duration, CAST(batch_size AS BIGINT) AS input_size, error_count = 0 AS success, target FROM api_usage u LEFT JOIN targets s ON u.sla_category = s.sla_category")
+def a10_call_log_export(t):
+    """The exported log with its targets, read again."""
+    path = scratch_path(t.spark, "calls")
+    usage.export_calls(t.api_usage, usage.sla_table(t.spark), path)
+    targets = t.spark.read.json(f"{path}/sla_targets").withColumnRenamed("sla_category", "function_name")
+    return t.spark.read.json(f"{path}/call_log").join(F.broadcast(targets), "function_name", "left").drop("ts")

@@ -80,7 +80,7 @@ def write_csv(bundle: dict[str, DataFrame], path: str) -> None:
     """The main dataset of a bundle, else its first. Arrays become text."""
     df = bundle.get("Analisis_Completo") or next(iter(bundle.values()))
     flat = [F.array_join(c, ", ").alias(c) if kind.startswith("array<string") else F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in df.dtypes]
-    df.select(*flat).write.options(header=True, escape='"').mode("overwrite").csv(path)
+    df.select(*flat).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
 
 def write_json(bundle: dict[str, DataFrame], path: str) -> None:

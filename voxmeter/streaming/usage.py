@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from voxmeter.constants import REQUESTS_PER_MINUTE, SAFETY_MARGIN, SLA_TARGETS, TIERS, TOKENS_PER_COMMENT, TOKENS_PER_MINUTE
 from voxmeter.operators.reports import share
+from voxmeter.sources.io import write_json
 
 MINUTE = 60_000_000
 
@@ -125,15 +126,42 @@ def throughput(df: DataFrame) -> DataFrame:
     return df.agg((r / least(s)).alias("requests_per_second"), (t / least(s)).alias("tokens_per_second"), (t / least(r)).alias("tokens_per_request"), (s * 1000 / least(n)).alias("ms_per_comment"))
 
 
-def rate_limit_backoff(df: DataFrame, key: str = "api_key_id", order: tuple[str, ...] = ("ts", "call_id")) -> DataFrame:
-    """Each call with its streak of rate-limit errors since the key's last success, and the wait it asks for (0 without a streak)."""
-    w = W.partitionBy(key).orderBy(*order)
-    ok = (~F.col("rate_limited") & (F.col("error_count") == 0)).cast("int")
-    island = df.withColumn("__island", F.sum(ok).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    own = W.partitionBy(key, "__island").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    streak = F.sum(F.col("rate_limited").cast("int")).over(own)
+def rate_limit_backoff(df: DataFrame, key: str = "api_key_id", order: tuple[str, ...] = ("ts", "call_id"), block: int = 60 * MINUTE) -> DataFrame:
+    """Each call with its streak of rate-limit errors since the key's last success, and the wait it asks for (0 without a streak).
+
+    Time is cut into blocks: streaks are counted within each, and what a block begins with
+    follows from the ends of the key's blocks before it, so one key's calls are spread over
+    many tasks. ``order`` begins with the time.
+    """
+    ok = ~F.col("rate_limited") & (F.col("error_count") == 0)
+    rows = df.withColumn("__block", F.floor(micros(order[0]) / block))
+    w = W.partitionBy(key, "__block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("__limited", F.sum(F.col("rate_limited").cast("int")).over(w))
+    # Errors up to the block's last success so far; null before the first.
+    rows = rows.withColumn("__at", F.max(F.when(ok, F.col("__limited"))).over(w))
+    ends = rows.groupBy(F.col(key).alias("__k"), F.col("__block").alias("__b")).agg(F.max("__limited").alias("total"), F.max("__at").alias("at"))
+    before = W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("sums", F.coalesce(F.sum(F.col("total") - F.coalesce("at", F.lit(0))).over(before), F.lit(0)))
+    ends = ends.select("__k", "__b", (F.col("sums") - F.coalesce(F.max(F.when(F.col("at").isNotNull(), F.col("sums"))).over(before), F.lit(0))).alias("carried"))
+    rows = rows.join(ends, F.col(key).eqNullSafe(F.col("__k")) & F.col("__block").eqNullSafe(F.col("__b")))
+    streak = F.col("__limited") - F.coalesce("__at", F.lit(0)) + F.when(F.col("__at").isNull(), F.col("carried")).otherwise(0)
     wait = F.greatest(F.lit(0.1), F.least(F.lit(2.0), 0.5 * F.pow(F.lit(1.5), F.least(F.col("streak"), F.lit(3)))))
-    return island.withColumn("streak", streak).withColumn("backoff", F.when(F.col("rate_limited"), wait).otherwise(0.0)).drop("__island")
+    return rows.withColumn("streak", streak).withColumn("backoff", F.when(F.col("rate_limited"), wait).otherwise(0.0)).select(*df.columns, "streak", "backoff")
+
+
+def export_usage(df: DataFrame, path: str, rpm: int = REQUESTS_PER_MINUTE, tpm: int = TOKENS_PER_MINUTE) -> None:
+    """Session summary, hourly trend, usage of the minute that ends with the last call, and limits, each as JSON in a directory of its own."""
+    end = F.col("__end")
+    last = df.agg(F.max(micros("ts")).alias("__end"))
+    current = df.crossJoin(F.broadcast(last)).where(micros("ts") > end - MINUTE).agg(F.coalesce(F.sum("requests_made"), F.lit(0)).alias("requests"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens"), F.count("*").alias("batches"))
+    limits = df.sparkSession.createDataFrame([(rpm, tpm)], "requests_per_minute long, tokens_per_minute long")
+    write_json({"summary": session_summary(df), "trends": hourly_trend(df), "current": current, "limits": limits}, path)
+
+
+def export_calls(df: DataFrame, targets: DataFrame, path: str) -> None:
+    """The whole call log, and the targets it is held to, each as JSON in a directory of its own."""
+    log = df.select(F.col("sla_category").alias("function_name"), F.col("processing_time").alias("duration"), "ts", F.col("batch_size").alias("input_size"), (F.col("error_count") == 0).alias("success"), "call_id")
+    write_json({"call_log": log, "sla_targets": targets}, path)
 
 
 def utilisation(df: DataFrame, rpm: int = REQUESTS_PER_MINUTE, tpm: int = TOKENS_PER_MINUTE) -> DataFrame:
