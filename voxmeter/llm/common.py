@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmeter.sources.scratch import cut, scratch_dir
+
+__all__ = ["checkpoint_dir", "code_points", "cut", "held_out", "runs", "table", "xxh64_longs"]
 MASK64 = (1 << 64) - 1
 P1, P2, P3, P4, P5 = (
     np.uint64(x)
@@ -19,21 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the one the session names, else (tests) one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and goes on from there: lost executors cost no recomputation of its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+checkpoint_dir = scratch_dir
 
 
 def held_out(doc_id: Column) -> Column:

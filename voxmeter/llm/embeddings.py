@@ -158,12 +158,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     whole = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     # -0.0 and 0.0 are one number.
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), F.transform(vectors[vec_col].cast("array<double>"), lambda e: F.when(e == 0, F.lit(0.0)).otherwise(e)).alias("vec")).withColumn("vec", F.when(F.col("vec_id").isNotNull() & whole, v))
-    classes = cut(rows.where(v.isNotNull()).groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "vec"))
+    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # Equal vectors are told by 128 bits of hash, so that rows find their class without their vectors.
+    good = rows.where(v.isNotNull()).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64("vec", F.lit(1))})
+    classes = cut(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
     common = classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return alone(rows)
     dim, n = common
-    own = classes.where(F.size("vec") == dim)
+    own = classes.where(F.size("vec") == dim).select("rep", "copies", "vec")
     sample = own.orderBy(F.xxhash64("rep")).limit(FIT_ROWS).select("vec").toArrow().column(0).combine_chunks()
     x = unit(matrix(sample, dim))
     k = max(1, min(MAX_CELLS, len(x) // 4, round(n**0.5 / 2)))
@@ -183,5 +186,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     links = cut(blocks.mapInArrow(links_task(shared, dim, threshold, reach), "a long, b long, n long"))
     found = connected_components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    known = classes.join(counts, "rep", "left").join(found, F.col("rep") == F.col("node"), "left").select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    return rows.join(known, "vec", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    known = classes.drop("vec").join(counts, "rep", "left").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = good.select("vec_id", "h1", "h2").join(known, ["h1", "h2"]).select("vec_id", "n_links", "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept"))
+    return linked.unionByName(alone(rows.where(v.isNull())))
