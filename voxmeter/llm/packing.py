@@ -12,9 +12,11 @@ most ``POOL`` remainders, each shorter than the longest window.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 POOL = 8192
-CACHE = 400_000
+#: Words and pre-tokens that a worker remembers.
+CACHE = 600_000
 #: White space next to a space: there the split at single spaces would not be the tokenizer's.
 AWKWARD = re.compile(r"\s | \s")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group string"
@@ -36,6 +39,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceCache(dict):
     """Pre-token -> its ids by the tokenizer's model, as little-endian 32-bit bytes; emptied at ``CACHE`` of them."""
 
@@ -46,8 +53,8 @@ class PieceCache(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        self[piece] = ids = np.array([t.id for t in found], dtype="<u4").tobytes()
+        written = piece if piece.isascii() else piece.encode().decode("latin-1")
+        self[piece] = ids = little([t.id for t in self.model.tokenize(written.translate(self.letters))])
         return ids
 
 
@@ -63,7 +70,10 @@ class WordCache(dict):
             self.clear()
         whole = self.lead + word
         # Of newer letters two libraries may think differently: there the tokenizer cuts by itself.
-        ids = b"".join(map(self.pieces.__getitem__, self.pattern.findall(whole))) if len(word) <= 64 and max(word, default="") < "\u0500" else np.array(self.encode(whole), dtype="<u4").tobytes()
+        if word.isascii() or max(word) < "\u0500":
+            ids = b"".join(map(self.pieces.__getitem__, self.pattern.findall(whole)))
+        else:
+            ids = little(self.encode(whole))
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -89,11 +99,19 @@ class ByteBpe:
 
     def ids(self, text: str) -> bytes:
         if AWKWARD.search(text) or self.added.search(text):
-            return np.array(self.encode(text), dtype="<u4").tobytes()
+            return little(self.encode(text))
         words = text.split(" ")
         return self.first[words[0]] + b"".join(map(self.next.__getitem__, words[1:]))
 
 
+@lru_cache(maxsize=2)
+def tokenizer(vocabulary: str, added: bool) -> ByteBpe:
+    """The tokenizer of a Python worker, which its later tasks find with its caches."""
+    import public_tokenizers
+
+    return ByteBpe(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, added)
+
+
 class Packer:
     """Packs pieces (length, doc, start, doc_tokens, bytes) of one partition."""
 
@@ -169,9 +187,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_t
         raise ValueError("tiers must be distinct powers of two, longest first")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        bpe = ByteBpe(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, added)
+        bpe = tokenizer(vocabulary, added)
         packer, end = Packer(TaskContext.get().partitionId(), tiers, step_tokens), np.array([end_id], dtype="<u4").tobytes()
 
         def out() -> pa.RecordBatch:
