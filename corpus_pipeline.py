@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document, or an earlier place, has; those that lose all their text go.
 
-    Null texts go, empty ones stay; rows that share an id are one document and change alike.
+    Null and empty texts stay; rows that share an id are one document and change alike.
     """
     left = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
