@@ -190,6 +190,31 @@ def test_quality(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in quality.classify(odd, one_class).collect())
 
 
+def test_scores_are_sums_of_table_entries(spark, sf_dir):
+    """Every score against a plain loop over the tables, bin by bin."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(400, 4)), rng.integers(0, 3, (100, 4))])
+    m = quality.fit(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float), rounds=15, pair_rounds=5, n_pairs=3)
+    assert len(m.pairs) == 3 and any(t.any() for t in m.pair_tables)
+    for row, got in zip(x.tolist(), m.margin(x).tolist(), strict=True):
+        want = m.base
+        for value, edges, entries in zip(row, m.edges, m.tables, strict=True):
+            want += entries[sum(value >= e for e in edges)]
+        for (i, j), entries in zip(m.pairs, m.pair_tables, strict=True):
+            want += entries[sum(row[i] >= e for e in m.pair_edges[i]), sum(row[j] >= e for e in m.pair_edges[j])]
+        assert got == pytest.approx(want)
+    # The query's scores are those of a model fitted on the same rows by itself.
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts}
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in known], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    table = {i: quality.features([t])[0].astype(np.float32).astype(float) for i, t in texts.items()}
+    own = quality.fit(np.array([table[i] for i in order]), np.array([float(known[i] > 0) for i in order]))
+    for r in quality.classify(docs, labels).collect():
+        assert r.score == pytest.approx(1 / (1 + np.exp(-own.margin(table[r.doc_id][None])[0])), abs=1e-6)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5)
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))
