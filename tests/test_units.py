@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from voxmeter import constants as K
 from voxmeter.functions import churn, emotion, nps, responses, text
-from voxmeter.operators import batching, quality, reports, scoring
+from voxmeter.operators import batching, joins, quality, reports, scoring
 from voxmeter.plans import pipeline
 from voxmeter.queries.registry import Tables
 from voxmeter.sources import io
@@ -161,12 +163,66 @@ def test_quota_rules():
 
 
 def replayed(rows):
-    q, out = {}, {}
+    """The rules by themselves, a window per key."""
+    windows, out = {}, {}
     for r in sorted(rows, key=lambda r: (r.us, r.call_id)):
-        out[r.call_id] = q.setdefault(r.api_key_id, quota.Quota(3, 30_000)).ask(r.us, r.request_tokens)
+        start, n, used = windows.get(r.api_key_id, (None, 0, 0))
+        if start is None or r.us - start >= 60_000_000:
+            start, n, used = r.us, 0, 0
+        left = (60_000_000 - (r.us - start)) / 1e6
+        if n >= 3:
+            answer = (False, "request limit", left, n, used)
+        elif used + r.request_tokens > 30_000:
+            answer = (False, "token limit", left, n, used)
+        elif r.request_tokens > 12_000:
+            answer = (False, "batch too large", 0.0, n, used)
+        else:
+            n, used = n + 1, used + r.request_tokens
+            answer = (True, "ok", 0.0, n, used)
+        windows[r.api_key_id] = (start, n, used)
+        out[r.call_id] = answer
     return out
 
 
+def test_dense_calls_are_replayed_and_counted_like_the_plain_loop(spark):
+    """Pauses and streaks across the borders of time blocks, equal times, and calls without a key, a time or tokens."""
+    rng = random.Random(2)
+    rows, us = [], {k: 0 for k in (1, 2, 3, None)}
+    for i in range(1500):
+        k = rng.choice([1, 1, 1, 2, 3, None])
+        us[k] += rng.choice([0, 1_000_000, 20_000_000, 59_999_999, 60_000_000, 200_000_000, 4_000_000_000])
+        limited = rng.random() < 0.4
+        rows.append((i, k, us[k], rng.choice([100, 9000, 13_000]), limited, int(limited or rng.random() < 0.2)))
+    df = spark.createDataFrame([*rows, (9000, 1, None, 5, False, 0), (9001, 1, 70_000_000, None, False, 0)], "call_id long, api_key_id long, us long, tokens_used long, rate_limited boolean, error_count int").withColumn("ts", F.timestamp_micros("us"))
+    calls = quota.calls_of(df).dropna(subset=["us", "request_tokens"]).collect()
+    got = {r.call_id: (r.accepted, r.reason, r.wait_seconds, r.used_requests, r.used_tokens) for r in quota.replay(df, rpm=3, tpm=30_000).collect()}
+    assert got == replayed(calls)
+    streaks, want = {}, {}
+    for i, k, _, _, limited, errors in sorted(rows, key=lambda r: (r[2], r[0])):
+        streaks[k] = streaks.get(k, 0) + 1 if limited else 0 if not errors else streaks.get(k, 0)
+        want[i] = streaks[k]
+    assert {r.call_id: r.streak for r in usage.rate_limit_backoff(df.where("call_id < 9000")).collect()} == want
+
+
+def test_one_to_one(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "comment_id long, c string"), spark.createDataFrame([(2, 0.5), (1, 0.1)], "comment_id long, r double")
+    assert sorted(map(tuple, joins.join_one_to_one(a, b).collect())) == [(1, "x", 0.1), (2, "y", 0.5)]
+    for left, right in ((a, b.limit(1)), (a.union(a), b.union(b)), (a.union(spark.createDataFrame([(None, "z")], a.schema)), b.union(spark.createDataFrame([(None, 1.0)], b.schema)))):
+        with pytest.raises(ValueError, match="comments"):
+            joins.join_one_to_one(left, right)
+
+
+def test_token_batches_of_a_hot_key(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", None]), "x" * rng.randrange(4000)) for i in range(600)]
+    got = {r.comment_id: r.batch_no for r in batching.token_batches(spark.createDataFrame(rows, "comment_id long, source string, comment string").repartition(5), "comment_id", "comment", "source").collect()}
+    sums, want = {}, {}
+    for i, s, c in rows:
+        want[i] = int(sums.get(s, 0) // 6480)
+        sums[s] = sums.get(s, 0) + max(1, len(c) // 4)
+    assert got == want
+
+
 def test_quota_replay_is_the_plain_loop(spark, sf_dir):
     calls = Tables(spark, sf_dir).api_usage
     got = quota.replay(calls, rpm=3, tpm=30_000).collect()

@@ -9,12 +9,14 @@ from voxmeter.constants import EMOTIONS, PAIN_CATEGORIES
 
 
 def join_one_to_one(comments: DataFrame, analysis: DataFrame, key: str = "comment_id") -> DataFrame:
-    """Every comment with its one analysis; raises if the tables do not match row for row."""
-    n, m = comments.count(), analysis.count()
-    joined = comments.join(analysis, key)
-    if not n == m == joined.count():
-        raise ValueError(f"{n} comments, {m} results")
-    return joined
+    """Every comment with its one analysis; raises if the tables do not match row for row. One job over the keys alone tells."""
+    side = lambda df, ours, theirs: df.select(key, F.lit(ours).alias("c"), F.lit(theirs).alias("r"))
+    keys = side(comments, 1, 0).unionByName(side(analysis, 0, 1)).groupBy(key).agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    odd = F.col(key).isNull() | (F.col("c") != 1) | (F.col("r") != 1)
+    n, m, bad = keys.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0)), F.count_if(odd)).first()
+    if bad:
+        raise ValueError(f"{n} comments, {m} results, {bad} keys that are not one to one")
+    return comments.join(analysis, key)
 
 
 def merge_results(comments: DataFrame, results: DataFrame, key: str = "comment_id") -> DataFrame:

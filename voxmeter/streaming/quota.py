@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +15,8 @@ from pyspark.sql.window import Window as W
 from voxmeter.constants import REQUESTS_PER_MINUTE, TOKENS_PER_MINUTE, TOKENS_PER_REQUEST
 
 MINUTE = 60_000_000
+#: Times are cut into blocks of this many microseconds to find pauses.
+BLOCK = 60 * MINUTE
 OUT = "api_key_id long, call_id long, us long, request_tokens long, accepted boolean, reason string, wait_seconds double, used_requests long, used_tokens long"
 
 
@@ -52,25 +55,35 @@ def replay(df: DataFrame, rpm: int = REQUESTS_PER_MINUTE, tpm: int = TOKENS_PER_
     """Every call with the quota's answer, keys apart, in the order of time and call.
 
     A pause of a minute ends any window, so calls between such pauses are a run of their own;
-    runs are dealt over the tasks and stream through them in order, none is held whole.
+    runs are dealt over the tasks and stream through them in order, none is held whole. Pauses
+    are found within blocks of time, and between a key's blocks by their first and last calls.
+    Calls without a time or tokens have no answer; those without a key share one window.
     """
-    calls = calls_of(df)
-    w = W.partitionBy("api_key_id").orderBy("us", "call_id")
-    fresh = F.coalesce(F.col("us") - F.lag("us").over(w) >= MINUTE, F.lit(True))
-    run = calls.withColumn("start", F.when(fresh, F.col("us"))).withColumn("run", F.max("start").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("start")
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, quota = None, None
-        for frame in frames:
+    calls = calls_of(df).dropna(subset=["us", "request_tokens"]).withColumn("block", F.floor(F.col("us") / BLOCK))
+    w = W.partitionBy("api_key_id", "block").orderBy("us", "call_id")
+    rows = calls.withColumn("start", F.when(F.col("us") - F.lag("us").over(w) >= MINUTE, F.col("us")))
+    rows = rows.withColumn("start", F.max("start").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    before = W.partitionBy("k").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.groupBy(F.col("api_key_id").alias("k"), F.col("block").alias("b")).agg(F.min("us").alias("first"), F.max("us").alias("last"), F.max("start").alias("start_in"))
+    ends = ends.withColumn("own", F.when(F.coalesce(F.col("first") - F.max("last").over(before) >= MINUTE, F.lit(True)), F.col("first")))
+    ends = ends.select("k", "b", F.coalesce("own", F.max(F.greatest("start_in", "own")).over(before)).alias("carried"))
+    run = rows.join(ends, F.col("api_key_id").eqNullSafe(F.col("k")) & (F.col("block") == F.col("b"))).withColumn("run", F.coalesce("start", "carried"))
+    run = run.select("api_key_id", "call_id", "us", "request_tokens", "run")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, quota = (), None
+        for batch in batches:
             answers = []
-            for k, r, us, n in zip(frame["api_key_id"], frame["run"], frame["us"], frame["request_tokens"], strict=True):
+            for k, r, us, n in zip(*(batch.column(c).to_pylist() for c in ("api_key_id", "run", "us", "request_tokens")), strict=True):
                 if (k, r) != key:
                     key, quota = (k, r), Quota(rpm, tpm, per_request)
-                answers.append(quota.ask(int(us), int(n)))
-            more = pd.DataFrame(answers, columns=["accepted", "reason", "wait_seconds", "used_requests", "used_tokens"])
-            yield pd.concat([frame[["api_key_id", "call_id", "us", "request_tokens"]].reset_index(drop=True), more], axis=1)
+                answers.append(quota.ask(us, n))
+            if answers:
+                kinds = (pa.bool_(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+                more = [pa.array(x, kind) for x, kind in zip(zip(*answers, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *more], names=[c.split()[0] for c in OUT.split(", ")])
 
-    return run.dropna(subset=["us", "request_tokens"]).repartition("api_key_id", "run").sortWithinPartitions("api_key_id", "run", "us", "call_id").mapInPandas(task, OUT)
+    return run.repartition("api_key_id", "run").sortWithinPartitions("api_key_id", "run", "us", "call_id").mapInArrow(task, OUT)
 
 
 class QuotaProcessor(StatefulProcessor):
