@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from voxmeter.functions import churn, emotion, nps, responses, text
 from voxmeter.operators import batching, joins, quality, reports, scoring
 from voxmeter.plans import pipeline
 from voxmeter.queries.registry import Tables
-from voxmeter.sources import io
+from voxmeter.sources import io, scratch
 from voxmeter.streaming import quota, usage
 
 
@@ -262,3 +263,11 @@ def test_stream_quota_equals_batch(spark, log):
     got = drained(quota.stream_replay(spark.readStream.schema(schema).parquet(path)), "quota", "append").collect()
     want = quota.replay(spark.read.parquet(path)).collect()
     assert {r.call_id: (r.accepted, r.reason) for r in got} == {r.call_id: (r.accepted, r.reason) for r in want}
+
+
+def test_scratch_folder():
+    session = lambda named, set_, master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=SimpleNamespace(getCheckpointDir=lambda: set_, master=master))
+    assert scratch.scratch_dir(session("hdfs://a/b", None, "yarn")) == "hdfs://a/b"
+    assert scratch.scratch_dir(session(None, "hdfs://c", "yarn")) == "hdfs://c"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_dir(session(None, None, "spark://host:7077"))
