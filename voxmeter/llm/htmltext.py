@@ -36,10 +36,10 @@ MARKS = ".,;:!?\u3002\uff0c\u3001\uff1b\uff1a\uff01\uff1f\u061f\u060c\u061b\u096
 #: Weights on paths: outside a page's only article or main element (several are no hint), of elements and names that stand for other things than main text, and of those that may.
 OUTSIDE, OTHER, MAYBE = 0.6, 0.1, 0.3
 OTHER_TAGS = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "label", "fieldset", "datalist"}
-OTHER_NAMES = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations pagination pager toolbar copyright complementary contentinfo notice notices alert alerts".split())
+OTHER_NAMES = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations pagination pager toolbar copyright complementary contentinfo notice notices alert alerts".split())
 MAYBE_NAMES = set("header legal disclaimer tag tags search form side toc byline".split())
 #: Parts of a name that say what the thing looks like, not what it is.
-SHAPES = set("bar block body box container content cta form group holder inner item items label link links list main outer panel row section slot text thread top unit wrap wrapper zone".split())
+SHAPES = set("area articles bar block body bottom box button buttons center container content count cta desktop fixed form group head holder icon icons info inner item items label large left link links list main message mobile outer panel placeholder posts primary reading right row secondary section slot small sticky stories text thread title top unit wrap wrapper zone".split())
 PREFIXES = set("has with without no is".split())
 #: The fused ratio of blocks of 200 characters with four marks; above it a path is prose and no more.
 FULL = float(np.log1p(200 * 5))
