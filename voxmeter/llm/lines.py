@@ -35,7 +35,7 @@ CACHED = 1 << 16
 TILE = 1 << 23
 FILTER_BITS = 25
 #: Lines of a group that one task compares.
-LIMIT = 1024
+LIMIT = 2048
 #: Hashes of lines that a task remembers to have sent on.
 SEEN = 1 << 20
 _rng = np.random.default_rng(20240501)
@@ -136,36 +136,41 @@ def groups_task(limit: int):
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held, pivot = None, np.zeros(0, dtype=np.int64), None
+        # The last run of a batch may go on: its key, its lines, and its pivot once it is large.
+        held_key, held, pivot = 0, np.zeros(0, dtype=np.int64), None
         out: list[tuple] = []
 
-        def done() -> None:
-            if pivot is None and len(held) > 1:
-                name = np.frombuffer(xxhash.xxh64(held.tobytes(), SEED).digest(), dtype=">i8")[0]
-                out.append((np.full(len(held), name, dtype=np.int64), held, None))
+        def bucket(key: int, own: np.ndarray) -> None:
+            if len(own) > limit:
+                out.append((key, own, own[0]))
+            elif len(own) > 1:
+                name = np.frombuffer(xxhash.xxh64(own.tobytes(), SEED).digest(), dtype=">i8")[0]
+                out.append((name, own, None))
 
         for batch in batches:
             key, h = (c.to_numpy() for c in batch.columns)
-            bounds = np.flatnonzero(np.diff(key)) + 1
-            for s, e in zip([0, *bounds.tolist()], [*bounds.tolist(), len(key)], strict=True):
-                if s == e:
-                    continue
-                own = np.unique(h[s:e])
-                if key[s] != held_key:
-                    done()
-                    held_key, held, pivot = key[s], own, None
-                elif pivot is None:
-                    held = np.union1d(held, own)
-                else:
-                    held = own
-                if pivot is None and len(held) > limit:
-                    pivot = held[0]
-                if pivot is not None:
-                    out.append((np.full(len(held), held_key, dtype=np.int64), held, pivot))
+            if pivot is not None:
+                n = int(np.argmax(key != held_key)) if len(key) and key[-1] != held_key else len(key)
+                more = np.unique(h[:n])
+                out.append((held_key, more, pivot))
+                key, h = key[n:], h[n:]
+                if len(key):
+                    pivot = None
+            if len(key):
+                if len(held):
+                    key, h = np.concatenate([np.full(len(held), held_key, dtype=np.int64), key]), np.concatenate([held, h])
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+                size = np.diff(starts)
+                for k in np.flatnonzero(size > 1).tolist():
+                    bucket(key[starts[k]], np.unique(h[starts[k] : starts[k + 1]]))
+                held_key, held = key[-1], np.unique(h[starts[-1] :])
+                if len(held) > limit:
+                    bucket(held_key, held)
+                    pivot, held = held[0], held[:0]
             if out:
                 yield grouped(out)
                 out.clear()
-        done()
+        bucket(held_key, held)
         if out:
             yield grouped(out)
 
@@ -173,8 +178,11 @@ def groups_task(limit: int):
 
 
 def grouped(rows: list[tuple]) -> pa.RecordBatch:
-    pivots = pa.concat_arrays([pa.nulls(len(h), pa.int64()) if p is None else pa.array(np.full(len(h), p, dtype=np.int64)) for _, h, p in rows])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g for g, _, _ in rows])), pa.array(np.concatenate([h for _, h, _ in rows])), pivots], names=["group", "h", "pivot"])
+    names, members, pivots = zip(*rows, strict=True)
+    sizes = [len(h) for h in members]
+    small = np.repeat([p is None for p in pivots], sizes)
+    pivot = pa.array(np.repeat(np.array([0 if p is None else p for p in pivots], dtype=np.int64), sizes), mask=small)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, dtype=np.int64), sizes)), pa.array(np.concatenate(members)), pivot], names=["group", "h", "pivot"])
 
 
 def shingles(lines: list[str]) -> list[np.ndarray]:
@@ -262,7 +270,7 @@ def links_task(threshold: float, sets_of=sets_of_lines):
 
 
 def pivots_task(threshold: float, sets_of=sets_of_lines):
-    """(group, h, pivot, value, pivot's value) to (group, h, pivot, near)."""
+    """(h, pivot, value, pivot's value) to (h, pivot, near)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -270,12 +278,12 @@ def pivots_task(threshold: float, sets_of=sets_of_lines):
             near = np.zeros(batch.num_rows, dtype=bool)
             for k in range(0, batch.num_rows, LIMIT):
                 part = batch.slice(k, LIMIT)
-                pivots = part.column(2).to_pylist()
-                for i, x in enumerate(sets_of(part.column(3).to_pylist())):
+                pivots = part.column(1).to_pylist()
+                for i, x in enumerate(sets_of(part.column(2).to_pylist())):
                     if pivots[i] != last:
-                        last, own = pivots[i], sets_of([part.column(4)[i].as_py()])[0]
+                        last, own = pivots[i], sets_of([part.column(3)[i].as_py()])[0]
                     near[k + i] = similar(x, own, threshold)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near)], names=["group", "h", "pivot", "near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near)], names=["h", "pivot", "near"])
 
     return task
 
@@ -291,10 +299,12 @@ def bucket_links(bands: DataFrame, values_of, threshold: float, sets_of=sets_of_
     found = []
     if not large.isEmpty():
         values = cut(values)
-        # Rows are dealt by line, and again by pivot with the hot ones split by Spark.
+        # A line meets a pivot once, however many buckets they share. Rows are dealt by line, and again by pivot with the hot ones split by Spark.
         pivot = values.select(other_key("h").alias("k"), F.col("value").alias("pivot_value"))
-        near = cut(large.join(values, "h").withColumn("k", other_key("pivot")).join(pivot, "k").select("group", "h", "pivot", "value", "pivot_value").mapInArrow(pivots_task(threshold, sets_of), "group long, h long, pivot long, near boolean"))
-        found.append(near.where("near").select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct())
+        met = large.select("h", "pivot").distinct().join(values, "h").withColumn("k", other_key("pivot")).join(pivot, "k")
+        met = cut(met.select("h", "pivot", "value", "pivot_value").mapInArrow(pivots_task(threshold, sets_of), "h long, pivot long, near boolean"))
+        found.append(met.where("near").select(F.col("h").alias("a"), F.col("pivot").alias("b")))
+        near = large.join(met, ["h", "pivot"])
         # Lines that their pivot is not similar to meet the whole bucket: blocks of them with blocks of all.
         sizes = near.groupBy("group").agg(F.ceil(F.count_if(~F.col("near")) / limit).cast("int").alias("blocks"), F.ceil((F.count("*") + 1) / limit).cast("int").alias("turns"), F.first("pivot").alias("pivot")).where("blocks > 0")
         salted = lambda n, salt: F.pmod(F.xxhash64("h", F.lit(salt)), F.col(n)).cast("int")
@@ -358,21 +368,24 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, limit: int = LIMIT, id_
     taken out; lines shorter than a shingle are compared whole. A text that loses all its
     lines becomes empty; null texts stay null with 0 lines; rows without an id stay as they
     are; rows that share an id are one document and change alike; other columns are kept; an
-    empty table gives no rows. Equal lines are told by 128 bits of hash, lines with similar
-    ones by 64.
+    empty table gives no rows. Equal lines are told by two hashes, of 64 and of 32 bits;
+    lines that one of them takes for equal and the other does not all stay.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__id").isNotNull())
     # A line with any character that is not white space; the tests for it and for equality are the same as in the tasks above.
-    place = cut(own.select("__id", F.posexplode(F.split("__text", "\n", -1)).alias("__no", "__line")).where(F.regexp_like("__line", F.lit(r"(?U)\S"))).select("__id", "__no", F.xxhash64("__line").alias("h"), F.xxhash64("__line", F.lit(1)).alias("h2")))
+    place = cut(own.select("__id", F.posexplode(F.split("__text", "\n", -1)).alias("__no", "__line")).where(F.regexp_like("__line", F.lit(r"(?U)\S"))).select("__id", "__no", F.xxhash64("__line").alias("h"), F.hash("__line").alias("h2")))
     found = similar_lines(own, "__text", threshold, limit)
-    heads = place.groupBy("h", "h2").agg(F.min(F.struct("__id", "__no")).alias("first"), F.count("*").alias("n"))
-    heads = heads.join(found, heads["h"] == found["node"], "left").select("h", "h2", "first", "n", F.coalesce("component", "h").alias("component"), F.when(F.col("component").isNull(), F.col("h2")).alias("only"))
-    groups = heads.groupBy("component", "only").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1").withColumnsRenamed({"component": "c", "only": "o"})
-    repeated = cut(heads.select("h", "h2", "component", "only").join(groups, (F.col("component") == F.col("c")) & F.col("only").eqNullSafe(F.col("o"))).select("h", "h2", "keeper"))
-    gone = place.join(repeated, ["h", "h2"]).where(F.struct("__id", "__no") != F.col("keeper")).groupBy("__id").agg(F.collect_set("__no").alias("__gone"))
-    left = docs.join(gone, docs[id_col] == gone["__id"], "left")
+    # Lines of one 64-bit hash that differ in the other one are different lines: they are left as they are.
+    heads = place.groupBy("h").agg(F.min(F.struct("__id", "__no")).alias("first"), F.count("*").alias("n"), F.min("h2").alias("low"), F.max("h2").alias("high")).where("low = high")
+    heads = heads.join(found, heads["h"] == found["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("component"))
+    groups = heads.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1")
+    repeated = cut(heads.select("h", "component").join(groups, "component").select("h", "keeper"))
+    # Names that the table does not have.
+    tid, gone_of = (next(x for x in (f"__{name}{k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns) for name in ("id", "gone"))
+    gone = place.join(repeated, "h").where(F.struct("__id", "__no") != F.col("keeper")).groupBy(F.col("__id").alias(tid)).agg(F.collect_set("__no").alias(gone_of))
+    left = docs.join(gone, docs[id_col] == gone[tid], "left")
     # The parts are made once for each text, and those that stay are taken by their places.
     lines = F.split(F.col(text_col), "\n", -1)
-    stay = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i)), "\n")
+    stay = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone_of)), lambda i: F.get(x, i)), "\n")
     kept = F.element_at(F.transform(F.array(lines), stay), 1)
-    return left.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)), text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)}).drop("__id", "__gone")
+    return left.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size(gone_of), F.lit(0)), text_col: F.when(F.col(gone_of).isNull(), F.col(text_col)).otherwise(kept)}).drop(tid, gone_of)
