@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxmeter.llm import decontam, embeddings, htmltext, langid, lines, packing, quality, simhash, surrogates, urls
+from voxmeter.llm import decontam, embeddings, htmltext, langid, lines, packing, periodic, quality, sharding, simhash, spelling, surrogates, urls
 from voxmeter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +83,80 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The given tables are no secret; a session with its own data sets a key of its own.
     key = spark.conf.get("spark.voxmeter.surrogates.key", "a key for the given tables")
     return surrogates.replace_entities(table(spark, sf_dir, "documents"), key.encode())
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # Quotients of numbers of words are told apart, and equal ones are equal, as long as length * period is below 2**52.
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("e"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("length"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    out = found.withColumn("best", best).select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.p")).alias("period"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.withColumn("exponent_milli", F.expr("(1000 * length) div period"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the repetitions that the contract plants in every tenth document: its words from place a on are the first p of them again and again."""
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.expr("(h div 10) % n").cast("int"))).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)").cast("int"))
+    again = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spelling.word_rows(table(spark, sf_dir, "documents")).where(F.length("word") >= spelling.MIN_LENGTH)
+    # The contract's misspellings: an occurrence in 31 loses a letter.
+    h = F.crc32(F.concat_ws(":", F.col("id").cast("string"), F.col("word")).cast("binary"))
+    gone = (F.col("h") % F.length("word")).cast("int")
+    without = F.concat(F.substring("word", F.lit(1), gone), F.substring("word", gone + 2, F.length("word")))
+    rows = rows.withColumn("h", h).select("id", F.when(F.col("h") % 31 == 0, without).otherwise(F.col("word")).alias("word"))
+    return spelling.group_variants(spelling.count_words(rows))
+
+
+#: Unsigned CRC-32 in SQL: the table by its rule, and a text's bytes folded over it.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS tab"
+
+
+def crc32_sql(text: str) -> str:
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT), lambda x, y: xor(x // 256, tab[xor(x, y) % 256 + 1])))"
+
+
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE t AS MATERIALIZED ({CRC_TABLE}),
+o AS (SELECT doc_id || ':' AS d, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+h AS MATERIALIZED (SELECT w, {crc32_sql("d || w")} AS h FROM o, t WHERE length(w) >= 7),
+v AS MATERIALIZED (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, count(*) AS n
+  FROM h GROUP BY 1 HAVING count(*) >= 2 AND length(word) >= 7),
+g AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v),
+near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM g a JOIN g b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, g.n, v.word, v.n FROM g JOIN v ON g.rest = v.word
+  UNION SELECT v.word, v.n, g.word, g.n FROM g JOIN v ON g.rest = v.word),
+f AS MATERIALIZED (
+  SELECT v.word, v.n, count(near.other) AS n_near, first(near.other ORDER BY near.m DESC, near.other) AS best, max(near.m) AS best_n
+  FROM v LEFT JOIN near ON v.word = near.word GROUP BY ALL),
+s AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM f),
+r AS (SELECT word, word AS root, 0 AS k FROM s UNION ALL SELECT r.word, s.form, k + 1 FROM r JOIN s ON r.root = s.word WHERE s.form IS NOT NULL)
+SELECT word, form, (SELECT max_by(r.root, r.k) FROM r WHERE r.word = s.word) AS root, n, n_near, form_n FROM s
+"""
+
+
+@query
+def op13_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}).drop("copy")
+
+
+ORACLES["op13_stratified_shards"] = f"""
+WITH t AS MATERIALIZED ({CRC_TABLE}),
+d AS MATERIALIZED (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32 FROM documents, t),
+h AS (SELECT *, ('0x' || substr(md5('shuffle:' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32), 1, 8))::BIGINT / 4294967296::DOUBLE AS h,
+  ('0x' || substr(md5('shuffle:source:' || coalesce('=' || source, '')), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM d),
+p AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 + u) / count(*) OVER (PARTITION BY source) AS place FROM h),
+o AS (SELECT *, row_number() OVER (ORDER BY place, h, doc_id NULLS FIRST, size, text_crc32, source NULLS FIRST) - 1 AS pos, count(*) OVER () AS total FROM p)
+SELECT doc_id, source, size::BIGINT AS size, text_crc32, 'rows' AS law, (pos * {sharding.SHARDS} // total)::INT AS shard,
+  (pos - (pos * {sharding.SHARDS} // total * total + {sharding.SHARDS - 1}) // {sharding.SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM o
+"""
