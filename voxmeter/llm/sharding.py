@@ -51,8 +51,10 @@ def assign_shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = "shuffle"
     A row's place is (rank in its source + the source's own offset in [0, 1)) / rows of the
     source: any range of places holds each source's share of it to within one row, and
     sources of few rows don't meet at one place. Shards are cut by counts, which differ by
-    one at most, so a shard's count of a source is off its share by the number of sources
-    at most, and by one or two in practice. Equal texts are not kept together. Slots number a shard's rows from 0 in the order of their places.
+    one at most, so a shard's count of a source is off its share by one or two, and by its
+    part of the chance with which sources of fewer rows than shards fall, if there are many
+    such. Equal texts are not kept together. Slots number a shard's rows from 0 in the order
+    of their places.
 
     ``size`` is the text's UTF-8 bytes and 8, ``text_crc32`` its unsigned checksum; null texts
     count as empty. A null source is a source of its own. Rows that agree in id, source, size
