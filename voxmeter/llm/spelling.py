@@ -26,7 +26,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_LENGTH, MIN_COUNT, RATIO = 7, 2, 10
 #: Numbers in a vector: one for each of a to z, the others for what other characters are dealt to.
 DIMENSIONS = 64
-#: Words of a length whose trees' tops are grown on: those with the least hashes. Where to split changes the work only.
+#: Words, of the lengths with more than a cell, that the trees' tops are grown on: those with low hashes. Where to split changes the work only.
 SAMPLE = 50_000
 #: Words of a cell, as the sample tells; words of a leaf; sample words of a cell at least.
 CELL, LEAF, TELLING = 4096, 32, 16
@@ -181,7 +181,9 @@ def near_words(words: DataFrame) -> DataFrame:
     # Lengths of more words than a cell, of which there are at most as many as cells.
     large = {r.length: r.n for r in scratch.groupBy("length").agg(F.count("*").alias("n")).where(F.col("n") > CELL).collect()}
     sample: dict[int, list[str]] = {}
-    for r in scratch.where(F.col("length").isin(list(large))).orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").collect() if large else []:
+    # About SAMPLE words in all, whatever the corpus: those whose hash is below their share.
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, sum(large.values()))))
+    for r in scratch.where(F.col("length").isin(list(large)) & chosen).select("word").collect() if large else []:
         sample.setdefault(len(r.word), []).append(r.word)
     trees = {k: Tree(letter_counts(characters(w)), max(TELLING, CELL * len(w) // large[k])) for k, w in sample.items()}
 
