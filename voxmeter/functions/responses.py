@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from voxmeter.constants import EMOTIONS
 from voxmeter.functions.emotion import clamp, score_of
+from voxmeter.functions.text import let
 
-OBJECT = "emotions string, pain_points string, churn_risk string, sentiment string"
 
 
 def extract_json(content: Column) -> Column:
@@ -27,33 +27,46 @@ def repair_json(c: Column) -> Column:
     return F.regexp_replace(c, r'""(\w+)""', '"$1"')
 
 
-def elements(payload: Column) -> Column:
-    """The elements of a JSON array, or the one object, as texts; null if it doesn't parse."""
-    one = F.when(F.startswith(F.trim(payload), F.lit("{")) & F.try_parse_json(payload).isNotNull(), F.array(payload))
-    return F.coalesce(F.when(F.startswith(F.trim(payload), F.lit("[")), F.from_json(payload, "array<string>")), one)
+def part(v: Column, path: str, kind: str) -> Column:
+    """What a parsed value has at a path, if it is of a kind; else null."""
+    return F.try_variant_get(v, path, kind)
+
+
+def is_object(v: Column) -> Column:
+    return part(v, "$", "map<string,variant>").isNotNull()
+
+
+def elements(v: Column) -> Column:
+    """The elements of a parsed array, or the one object; null for anything else."""
+    return F.coalesce(part(v, "$", "array<variant>"), F.when(is_object(v), F.array(v)))
 
 
 def parsed(content: Column) -> Column:
-    payload = extract_json(content)
-    return F.coalesce(elements(payload), elements(repair_json(payload)))
+    """An answer's elements as variants: it is parsed once, and once more only after a repair."""
+    of = lambda text_: let(F.try_parse_json(text_), elements)
+    return let(extract_json(content), lambda payload: F.coalesce(of(payload), of(repair_json(payload))))
+
+
+def first_item(content: Column) -> Column:
+    """The first element of an answer, if it is an object."""
+    return let(F.try_element_at(parsed(content), F.lit(1)), lambda x: F.when(is_object(x), x))
 
 
 def response_rows(df: DataFrame, content: str = "content", expected: str = "expected_count") -> DataFrame:
-    """One row per expected comment: the other columns, pos (from 0) and item, the element's text where it is an object."""
+    """One row per expected comment: the other columns, pos (from 0) and item, the element as a variant where it is an object."""
     rows = df.withColumn("__items", parsed(F.col(content)))
-    at = F.try_element_at("__items", F.col("pos") + 1)
     rows = rows.where(F.col(expected) > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), F.col(expected) - 1)))
-    return rows.withColumn("item", F.when(F.startswith(F.trim(at), F.lit("{")), at)).drop("__items", content)
+    item = let(F.try_element_at("__items", F.col("pos") + 1), lambda x: F.when(is_object(x), x))
+    return rows.withColumn("item", item).drop("__items", content)
 
 
 def normalized(df: DataFrame, default_churn: float = 0.5) -> DataFrame:
     """item to the sixteen emotions, pain_points, churn_risk, sentiment and is_fallback; what is bad or missing gets its default."""
-    j = lambda name: F.get_json_object("item", f"$.{name}")
-    emotions = F.from_json(j("emotions"), "map<string,string>")
-    points = F.filter(F.from_json(j("pain_points"), "array<string>"), lambda x: x.isNotNull() & ~x.isin("", "0", "false"))
+    j = lambda name, kind="string": part(F.col("item"), f"$.{name}", kind)
+    points = F.filter(j("pain_points", "array<string>"), lambda x: x.isNotNull() & ~x.isin("", "0", "false"))
     mood = F.lower(j("sentiment"))
     return (
-        df.withColumn("__e", emotions)
+        df.withColumn("__e", j("emotions", "map<string,string>"))
         .withColumns({e: score_of(F.coalesce("__e", F.create_map().cast("map<string,string>")), e) for e in EMOTIONS})
         .withColumns({
             "pain_points": F.coalesce(points, F.array().cast("array<string>")),
@@ -67,8 +80,8 @@ def normalized(df: DataFrame, default_churn: float = 0.5) -> DataFrame:
 
 def valid_structure(item: Column) -> Column:
     """Whether an element has the four fields with their right kinds."""
-    s = F.from_json(item, OBJECT)
-    return F.coalesce(F.startswith(s["emotions"], F.lit("{")) & F.startswith(s["pain_points"], F.lit("[")) & s["churn_risk"].try_cast("double").isNotNull() & s["sentiment"].isNotNull(), F.lit(False))
+    kinds = part(item, "$.emotions", "map<string,variant>").isNotNull() & part(item, "$.pain_points", "array<variant>").isNotNull()
+    return F.coalesce(kinds & part(item, "$.churn_risk", "string").try_cast("double").isNotNull() & part(item, "$.sentiment", "string").isNotNull(), F.lit(False))
 
 
 def parse_rates(rows: DataFrame, by: str = "batch_id") -> DataFrame:

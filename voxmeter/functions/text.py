@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmeter.constants import CHURN_HIGH, CHURN_MEDIUM, ENTITIES, LEXICON_NEGATIVE, LEXICON_POSITIVE, MAX_COMMENT, MOJIBAKE, NPS_NEGATIVE, NPS_POSITIVE, PROMPT_TOKENS, SPANISH_INDICATORS
@@ -129,10 +129,22 @@ def standard_marks(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, "„‚—–", "\"'--"), r"\.{3,}", "...")
 
 
+def before_form(c: Column) -> Column:
+    return strip_html(fix_encoding(c))
+
+
+def after_form(c: Column) -> Column:
+    return strip(standard_marks(fix_common(normalize_space(c))))
+
+
 def normalize_text(c: Column, accents: bool = True) -> Column:
     """Encoding, tags, Unicode form, space, Spanish fixes, marks; in this order."""
-    form = nfc if accents else without_accents
-    return strip(standard_marks(fix_common(normalize_space(form(strip_html(fix_encoding(c)))))))
+    return after_form((nfc if accents else without_accents)(before_form(c)))
+
+
+def normalize_column(df: DataFrame, c: str, accents: bool = True) -> DataFrame:
+    """``normalize_text`` of a column in place. What the Unicode form is taken of is a column of its own, which its test, its value and its fallback share."""
+    return df.withColumn(c, before_form(F.col(c))).withColumn(c, after_form((nfc if accents else without_accents)(F.col(c))))
 
 
 def normalize_light(c: Column) -> Column:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from voxmeter.constants import MAX_BATCH, PROMPT_TOKENS, TOKENS_PER_COMMENT, TOKENS_PER_REQUEST
 from voxmeter.functions.text import batch_tokens, estimate_tokens
+from voxmeter.sources.io import PLACE_BITS
 from voxmeter.sources.scratch import cut
 
-#: monotonically_increasing_id() is the partition's number and, in this many lower bits, the row's place in it.
-PLACE_BITS = 33
 
 
 def range_sorted(df: DataFrame, *order: str) -> DataFrame:
@@ -30,7 +29,12 @@ def with_row_index(df: DataFrame, order: str) -> DataFrame:
 
 def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """Adds batch_id = place // size and pos within the batch."""
-    return with_row_index(df, order).withColumns({"batch_id": F.floor(F.col("__i") / size).cast("long"), "pos": (F.col("__i") % size).cast("int")}).drop("__i")
+    return numbered_batches(with_row_index(df, order), "__i", size).drop("__i")
+
+
+def numbered_batches(df: DataFrame, index: str, size: int) -> DataFrame:
+    """Adds batch_id and pos by a column that numbers the rows from 0."""
+    return df.withColumns({"batch_id": F.floor(F.col(index) / size).cast("long"), "pos": (F.col(index) % size).cast("int")})
 
 
 def token_batches(df: DataFrame, order: str, text: str, by: str, budget: int = TOKENS_PER_REQUEST) -> DataFrame:
@@ -73,6 +77,12 @@ def batch_size(usage: Column, max_batch: int = MAX_BATCH) -> Column:
     return F.greatest(F.lit(3), n).cast("int")
 
 
+def size_now(spark: SparkSession, usage: dict[str, float], max_batch: int = MAX_BATCH) -> int:
+    """The batch size for one state of the limits, whose fields are those of ``batch_size``."""
+    state = F.struct(*[F.lit(v).alias(k) for k, v in usage.items()])
+    return spark.range(1).select(batch_size(state, max_batch)).first()[0]
+
+
 def advised_batch_size(used_share: Column, max_batch: int = MAX_BATCH) -> Column:
     """The plain advice: half the largest batch over 80 % use, three quarters over 60 %."""
     return F.when(used_share > 0.8, max(10, max_batch // 2)).when(used_share > 0.6, max(15, int(max_batch * 0.75))).otherwise(max_batch)

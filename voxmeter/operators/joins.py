@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmeter.constants import EMOTIONS, PAIN_CATEGORIES
@@ -37,12 +37,26 @@ def keyword_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, category string, keyword string")
 
 
+#: Letters of the grams by which keywords are filed.
+GRAM = 3
+
+
+def grams(text: Column, n: int) -> Column:
+    """All stretches of n characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def keyword_lookup(points: DataFrame, keywords: DataFrame, point: str = "pain_point") -> DataFrame:
     """Distinct pain points with the first category one of whose keywords they contain, else otros.
 
-    The keyword table is the domain's own list of some thirty words; each point is
-    held against it once, however often it occurs.
+    A keyword is filed under its first letters and met by the points that have them somewhere,
+    so the tables are joined by equality, whatever their sizes; then the whole keyword is
+    looked for. An empty keyword is in every point, null ones are in none.
     """
+    filed = keywords.where("keyword IS NOT NULL").withColumn("gram", F.substring("keyword", 1, GRAM))
+    # At most GRAM + 1 rows.
+    sizes = sorted(r[0] for r in filed.select(F.length("gram")).distinct().collect())
     own = points.select(point).distinct()
-    hits = own.join(F.broadcast(keywords), F.contains(own[point], keywords["keyword"]), "left")
-    return hits.groupBy(point).agg(F.coalesce(F.min_by("category", "ord"), F.lit("otros")).alias("category"))
+    of = F.array_distinct(F.concat(F.array(F.lit("")), *[grams(F.col(point), n) for n in sizes if n]))
+    met = own.withColumn("gram", F.explode_outer(of)).join(filed, "gram", "left").withColumn("hit", F.contains(F.col(point), F.col("keyword")))
+    return met.groupBy(point).agg(F.coalesce(F.min_by("category", F.when(F.col("hit"), F.col("ord"))), F.lit("otros")).alias("category"))

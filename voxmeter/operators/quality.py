@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from voxmeter.constants import LONG_COMMENT, MAX_ROWS, MIN_COMMENT, MIN_ROWS
 from voxmeter.functions.text import is_spanish, normalization_stats, strip
+from voxmeter.operators.quantiles import percentiles
 from voxmeter.operators.reports import share
 
 
@@ -29,33 +30,90 @@ def cleaning_report(before: DataFrame, after: DataFrame, comment: str = "comment
     return b.crossJoin(a).withColumns({"rows_removed": removed, "removed_pct": F.bround(share(removed, F.col("rows_before")), 2)})
 
 
+def nps_counts(c: str) -> dict[str, Column]:
+    return {"total": F.count("*"), "missing": F.count_if(F.col(c).isNull()), "out_of_range": F.count_if((F.col(c) < 0) | (F.col(c) > 10))}
+
+
+def rating_counts(c: str) -> dict[str, Column]:
+    return {"total": F.count("*"), "missing": F.count_if(F.col(c).isNull()), "negative": F.count_if(F.col(c) < 0)}
+
+
+def comment_counts(c: str) -> dict[str, Column]:
+    n = F.length(c)
+    return {"total": F.count("*"), "missing": F.count_if(F.col(c).isNull()), "short": F.count_if(n < MIN_COMMENT), "long": F.count_if(n > LONG_COMMENT)}
+
+
+def named(counts: dict[str, Column], prefix: str = "") -> list[Column]:
+    return [v.alias(f"{prefix}{k}") for k, v in counts.items()]
+
+
 def validate_nps(df: DataFrame, c: str = "nps") -> DataFrame:
     """Counts, and the status of each check: error, warning or ok."""
-    one = df.agg(F.count("*").alias("total"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_if((F.col(c) < 0) | (F.col(c) > 10)).alias("out_of_range"), F.count_distinct(c).alias("distinct_values"))
+    return nps_report(df.agg(*named(nps_counts(c)), F.count_distinct(c).alias("distinct_values")))
+
+
+def nps_report(one: DataFrame) -> DataFrame:
     pct = share(F.col("missing"), F.col("total"))
     return one.select("total", "missing", F.bround(pct, 1).alias("missing_pct"), "out_of_range", "distinct_values", F.when(pct > 50, "error").when(pct > 0, "warning").otherwise("ok").alias("missing_status"), (pct == 100).alias("all_missing"), F.when(F.col("out_of_range") > 0, "error").otherwise("ok").alias("range_status"), F.when((F.col("missing") < F.col("total")) & (F.col("distinct_values") < 3), "warning").otherwise("ok").alias("diversity_status"))
 
 
 def validate_rating(df: DataFrame, c: str = "nota") -> DataFrame:
-    one = df.agg(F.count("*").alias("total"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_if(F.col(c) < 0).alias("negative"))
+    return rating_report(df.agg(*named(rating_counts(c))))
+
+
+def rating_report(one: DataFrame) -> DataFrame:
     pct = share(F.col("missing"), F.col("total"))
     return one.select("total", "missing", F.bround(pct, 1).alias("missing_pct"), "negative", F.when(pct > 30, "warning").otherwise("ok").alias("missing_status"), F.when(F.col("negative") > 0, "warning").otherwise("ok").alias("range_status"))
 
 
 def validate_comments(df: DataFrame, c: str = "comment") -> DataFrame:
     """Distinct comments are counted in a pass of their own, whose shuffle carries one row per task and text."""
-    n = F.length(c)
-    one = df.agg(F.count("*").alias("total"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_if(n < MIN_COMMENT).alias("short"), F.count_if(n > LONG_COMMENT).alias("long"), (F.count(c) - F.count_distinct(F.xxhash64(F.when(F.col(c).isNotNull(), F.col(c)))) + F.max(F.col(c).isNull().cast("long"))).alias("duplicates"))
+    # A null comment has a hash too.
+    repeated = F.count(c) - F.count_distinct(F.xxhash64(c)) + F.coalesce(F.max(F.col(c).isNull().cast("long")), F.lit(0))
+    return comment_report(df.agg(*named(comment_counts(c)), repeated.alias("duplicates")))
+
+
+def comment_report(one: DataFrame) -> DataFrame:
     valid = F.col("total") - F.col("missing")
     pct, dup = share(F.col("missing"), F.col("total")), share(F.col("duplicates"), valid)
     return one.select("total", "missing", F.bround(pct, 1).alias("missing_pct"), "short", F.bround(share(F.col("short"), valid), 1).alias("short_pct"), "long", "duplicates", F.bround(dup, 1).alias("duplicate_pct"), F.when(pct > 10, "error").when(pct > 0, "warning").otherwise("ok").alias("missing_status"), F.when(dup > 5, "many").when(dup > 0, "some").otherwise("none").alias("duplicate_status"))
 
 
+#: Hash of a comment, kept for counting repeated ones.
+HASH = "__hash"
+
+
+def observe(df: DataFrame, nps: str = "nps", rating: str = "nota", comment: str = "comment", **more: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with the counts of its reports, and those named in ``more``, taken as its rows pass by; known after the first action."""
+    seen = Observation()
+    counts = named(nps_counts(nps), "nps.") + named(rating_counts(rating), "rating.") + named(comment_counts(comment), "comment.") + named(more)
+    return df.withColumn(HASH, F.xxhash64(comment)).observe(seen, *counts), seen
+
+
+def observed_reports(written: DataFrame, seen: Observation, nps: str = "nps") -> dict[str, DataFrame]:
+    """The three reports from what was observed as ``written`` was written; only distinct values are counted from its columns."""
+    got = seen.get
+    of = lambda kind: [F.lit(v).cast("long").alias(k.split(".")[1]) for k, v in got.items() if k.startswith(f"{kind}.")]
+    distinct = written.agg(F.count_distinct(nps).alias("values"), F.count_distinct(HASH).alias("hashes"))
+    no_null = F.when(F.col("missing") > 0, 1).otherwise(0)
+    one = lambda *columns: written.sparkSession.range(1).select(*columns)
+    return {
+        "nps": nps_report(distinct.select(*of("nps"), F.col("values").alias("distinct_values"))),
+        "rating": rating_report(one(*of("rating"))),
+        "comment": comment_report(distinct.select("hashes", *of("comment")).withColumn("duplicates", F.col("total") - F.col("missing") - F.col("hashes") + no_null)),
+    }
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample deviation, least, exact quartiles, greatest, distinct values and nulls of each column."""
-    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q1": lambda c: F.percentile(c, 0.25), "median": lambda c: F.percentile(c, 0.5), "q3": lambda c: F.percentile(c, 0.75), "max": F.max, "distinct_values": F.count_distinct, "nulls": lambda c: F.count_if(F.col(c).isNull())}
+    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "nulls": lambda c: F.count_if(F.col(c).isNull())}
     one = df.agg(*[f(c).alias(f"{s}__{c}") for c in columns for s, f in stats.items()])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{s}__{c}").cast("long" if s in ("n", "distinct_values", "nulls") else "double").alias(s) for s in stats]) for c in columns])))
+    out = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{s}__{c}").cast("long" if s in ("n", "nulls") else "double").alias(s) for s in stats]) for c in columns])))
+    # One row per column and value; equal ones of a task are one before they are shuffled.
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))).where("v IS NOT NULL")
+    distinct = long.groupBy("column", "v").agg(F.lit(1)).groupBy("column").agg(F.count("*").alias("distinct_values"))
+    quartiles = percentiles(long, F.col("v"), {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column"])
+    return out.join(quartiles, "column", "left").join(distinct, "column", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("long")))
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +14,14 @@ from voxmeter.constants import EMOTIONS, PAIN_CATEGORIES
 from voxmeter.functions import churn, nps
 from voxmeter.functions.emotion import label
 from voxmeter.functions.pain import category
+from voxmeter.operators.quantiles import at_ranks
 from voxmeter.sources.io import drop_emotions, drop_internal
 
 BINS = ["Bajo", "Medio", "Alto"]
+#: Per pair (x, y): rows that have both, and sums over them of x, x * x, x * y, and of x that are no numbers.
+MOMENTS = ["n", "x", "xx", "xy", "odd"]
+#: Deviations from the mean, as a share of it, that are rounding.
+EQUAL = 1e-15
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -75,13 +83,15 @@ def churn_bins(df: DataFrame, denominator: str = "all", c: str = "churn_risk") -
 def churn_distribution(df: DataFrame, c: str = "churn_risk") -> DataFrame:
     """Shares of low, medium and high, mean, upper median, least and greatest."""
     own, n = churn.category(F.col(c)), F.count(c)
-    return df.agg(
+    one = df.agg(
         *[F.bround(share(F.count_if((own == k) & F.col(c).isNotNull()), n), 1).alias(f"{k}_pct") for k in ("low", "medium", "high")],
         F.bround(F.avg(c), 3).alias("mean"),
-        F.expr(f"bround(percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC), 3)").alias("median"),
         F.bround(F.min(c), 3).alias("min"),
         F.bround(F.max(c), 3).alias("max"),
     )
+    median = at_ranks(df, F.col(c), {"median": lambda n: F.floor(n / 2)}, [])
+    # One row each; without a value there is no median.
+    return one.join(F.broadcast(median), F.lit(True), "left").withColumn("median", F.bround("median", 3)).drop("n")
 
 
 def churn_headlines(df: DataFrame, c: str = "churn_risk", high: float = 0.7) -> DataFrame:
@@ -90,16 +100,35 @@ def churn_headlines(df: DataFrame, c: str = "churn_risk", high: float = 0.7) ->
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of each pair over the rows that have both; null for constants and empty pairs.
+    """Pearson correlation of each pair over the rows that have both; null for constants and empty pairs, NaN where a value is.
 
-    A row gives one record per pair, which its task sums up before the shuffle.
+    A task sends on one row: matrices of products of its rows, taken about the columns' means,
+    of which those of all tasks are added up.
     """
-    pairs = [(i, a, b) for i, (a, b) in enumerate(combinations(columns, 2))]
-    rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a, b in pairs])))
-    both = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    got = both.groupBy("i").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
-    names = df.sparkSession.createDataFrame(pairs, "i int, a string, b string")
-    return names.join(got, "i", "left").select("a", "b", "r")
+    k, numbers = len(columns), df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    # One row. A mean that is no number, for infinite values, is none.
+    means = [m if m is not None and np.isfinite(m) else 0.0 for m in numbers.agg(*[F.avg(real(c)) for c in numbers.columns]).first()]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((5, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - means
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            odd = np.isnan(x) & (there > 0)
+            x = np.where(np.isnan(x), 0.0, x)
+            sums += [there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x, odd.astype(float).T @ there]
+        yield pa.RecordBatch.from_arrays([pa.array([m.ravel().tolist()]) for m in sums], names=MOMENTS)
+
+    parts = numbers.mapInArrow(task, ", ".join(f"{m} array<double>" for m in MOMENTS)).select(F.posexplode(F.arrays_zip(*MOMENTS)).alias("at", "m"))
+    total = parts.groupBy("at").agg(*[F.sum(f"m.{m}").alias(m) for m in MOMENTS])
+    pairs = df.sparkSession.createDataFrame([(i * k + j, j * k + i, a, b, means[i], means[j]) for (i, a), (j, b) in combinations(enumerate(columns), 2)], "ij int, ji int, a string, b string, ma double, mb double")
+    both = pairs.join(total.withColumnRenamed("at", "ij"), "ij").join(total.select(F.col("at").alias("ji"), F.col("x").alias("y"), F.col("xx").alias("yy"), F.col("odd").alias("odd_y")), "ji")
+    n = F.col("n")
+    # What is left of rounding where all values are equal is no variance.
+    spread = lambda squares, s, mean: F.when(squares - s * s / n > n * F.pow(F.abs(mean) * EQUAL, 2), squares - s * s / n)
+    r = (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(spread(F.col("xx"), F.col("x"), F.col("ma")) * spread(F.col("yy"), F.col("y"), F.col("mb")))
+    return both.select("a", "b", F.when(n == 0, None).when(F.col("odd") + F.col("odd_y") > 0, F.lit(float("nan"))).otherwise(r).alias("r"))
 
 
 def exploded_points(df: DataFrame, points: str = "pain_points", key: str = "comment_id") -> DataFrame:

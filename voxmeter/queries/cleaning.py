@@ -257,7 +257,7 @@ def d8_standard_marks(t):
 
 @query(full_sql("comments", "comment_id"))
 def d9_normalize_text(t):
-    return t.comments.select("comment_id", text.normalize_text(F.col("comment")).alias("comment"))
+    return text.normalize_column(t.comments.select("comment_id", "comment"), "comment")
 
 
 @query(f"SELECT conv_id, turn, {sub(nested(sub('text', r'\s+', ' '), K.MOJIBAKE), r'^\s+|\s+$', '')} AS text FROM conversations WHERE role = 'user'")

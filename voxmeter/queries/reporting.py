@@ -261,7 +261,7 @@ HELPERS["run_lexicon"] = HELPERS["lexicon"].replace("FROM scored", "FROM run_sco
 HELPERS["run_enriched"] = HELPERS["enriched"].replace("FROM lexicon", "FROM run_lexicon")
 RUN = f"""SELECT comment_id, lang, source, nota, comment, nps, nps_was_inferred, nps_category, {', '.join(K.EMOTIONS)}, churn_risk, sentiment, {', '.join(f'round({MEAN(v)}, 6) AS emo_category_{k}' for k, v in K.CATEGORIES.items())},
  CAST(n AS INT) AS pain_point_count, CASE WHEN n = 1 THEN 'mock_pain_point' ELSE '' END AS pain_points_text, {DOMINANT} AS dominant_emotion, round({SPREAD}, 6) AS emotion_intensity, round({SENTIMENT_CONFIDENCE}, 6) AS sentiment_confidence, {RISK} AS customer_risk_level, {PRIORITY} AS retention_priority,
- (row_number() OVER (ORDER BY CAST(comment_id AS VARCHAR)) - 1) // 80 AS batch_id, CAST((row_number() OVER (ORDER BY CAST(comment_id AS VARCHAR)) - 1) % 80 AS INT) AS pos FROM run_enriched"""
+ (row_number() OVER (ORDER BY comment_id) - 1) // 80 AS batch_id, CAST((row_number() OVER (ORDER BY comment_id) - 1) % 80 AS INT) AS pos FROM run_enriched"""
 
 
 def whole_run(t, scorer=None):

@@ -228,7 +228,7 @@ def f2_repair_json(t):
 
 @query("SELECT batch_id, CAST(pos AS INT) AS pos, item IS NOT NULL AS parsed, json_extract_string(item, '$.churn_risk') AS churn FROM items")
 def f3_parse_batches(t):
-    return items(t).select("batch_id", "pos", C("item").isNotNull().alias("parsed"), F.get_json_object("item", "$.churn_risk").alias("churn"))
+    return items(t).select("batch_id", "pos", C("item").isNotNull().alias("parsed"), responses.part(C("item"), "$.churn_risk", "string").alias("churn"))
 
 
 @query("""SELECT batch_id, CAST(pos AS INT) AS pos, greatest(0.0, least(1.0, coalesce(TRY_CAST(json_extract_string(item, '$.churn_risk') AS DOUBLE), 0.5))) AS churn_risk,

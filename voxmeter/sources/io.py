@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from dataclasses import dataclass
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from voxmeter.constants import ALIASES, EMOTIONS, EXACT_RENAMES, REQUIRED_COLUMNS
+from voxmeter.sources.scratch import scratch_path
 
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "orc": "orc"}
 
@@ -21,6 +27,28 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
     return reader.format(kind).load(path)
 
 
+#: Where a row was read: its file, its part of the file, and a number that grows within the part.
+FILE, PART, NUMBER = "__file", "__part", "__number"
+
+
+def with_origin(read: DataFrame) -> DataFrame:
+    """Rows just read from files, with the file and the part of it that they come from."""
+    return read.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(PART))
+
+
+def with_row_number(df: DataFrame, name: str) -> DataFrame:
+    """Adds the row's place from 0 in the order of the files' names and of the rows in them, without moving a row.
+
+    ``df`` was written with ``NUMBER``, a monotonically increasing id given in the pass that
+    read the rows. One small row per part of a file tells how many come before it.
+    """
+    parts = df.groupBy(FILE, PART).agg(F.min(NUMBER).alias("__low"), F.count("*").alias("__n"))
+    before = parts.select(F.col(FILE).alias("__f"), F.col(PART).alias("__q"), "__low", (F.sum("__n").over(W.orderBy(FILE, PART)) - F.col("__n")).alias("__before"))
+    # A part is up to 128 MB of a file by default, so this is a row of some hundred bytes for each of them.
+    joined = df.join(F.broadcast(before), (F.col(FILE) == F.col("__f")) & (F.col(PART) == F.col("__q")))
+    return joined.withColumn(name, F.col("__before") + F.col(NUMBER) - F.col("__low")).drop(FILE, PART, NUMBER, *before.columns)
+
+
 def missing_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> list[str]:
     return [c for c in required if c not in df.columns]
 
@@ -57,11 +85,52 @@ def preview(df: DataFrame, order: str, n: int = 5, preferred: list[str] | None =
 EXPORT_PREVIEW = ["comment_id", "nps", "nota", "comment", "nps_category", "churn_risk", *EMOTIONS[:5]]
 
 
+@dataclass
+class Pages:
+    """A result in its order, written once, with how many rows each of its ranges has: pages are read by pushed-down filters, from the row groups that hold them."""
+
+    rows: DataFrame
+    before: list[int]
+
+    @property
+    def n_rows(self) -> int:
+        return self.before[-1]
+
+    def page(self, number: int, size: int = 100, current: int = 0) -> DataFrame:
+        """Page ``number`` from 0, in order; a page that does not exist gives the current one."""
+        at = number if 0 <= number < -(-self.n_rows // size) else current
+        low, high = at * size, min((at + 1) * size, self.n_rows)
+        wanted = F.lit(False)
+        for p in range(max(0, bisect_right(self.before, low) - 1), len(self.before) - 1):
+            if self.before[p] >= high:
+                break
+            if self.before[p + 1] > low:
+                wanted = wanted | ((F.col("__p") == p) & (F.col("__r") >= low - self.before[p]) & (F.col("__r") < high - self.before[p]))
+        # No more rows than a page has.
+        return self.rows.where(wanted).coalesce(1).sortWithinPartitions("__p", "__r").drop("__p", "__r")
+
+
+#: monotonically_increasing_id() is the partition's number and, in this many lower bits, the row's place in it.
+PLACE_BITS = 33
+#: Bytes of a row group of a paged result.
+GROUP_BYTES = 8 << 20
+
+
+def pages(df: DataFrame, *order: str) -> Pages:
+    """``df`` sorted by ranges and written to the shared folder. Equal keys keep the places they got."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    rows = rows.withColumns({"__p": F.shiftright("__m", PLACE_BITS), "__r": F.col("__m").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}).drop("__m")
+    path = scratch_path(df.sparkSession, "pages")
+    rows.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    # A number for each range.
+    counts = {r[0]: r[1] for r in rows.groupBy("__p").count().collect()}
+    return Pages(rows, [0, *accumulate(counts.get(p, 0) for p in range(max(counts, default=-1) + 1))])
+
+
 def page(df: DataFrame, order: str, number: int, size: int = 100, current: int = 0) -> DataFrame:
-    """Page ``number`` from 0; a page that does not exist gives the current one."""
-    pages = -(-df.count() // size)
-    at = number if 0 <= number < pages else current
-    return df.orderBy(order).offset(at * size).limit(size)
+    """One page; who wants several keeps what ``pages`` gives."""
+    return pages(df, order).page(number, size, current)
 
 
 def page_count(df: DataFrame, size: int = 100) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from voxmeter.constants import REQUESTS_PER_MINUTE, SAFETY_MARGIN, SLA_TARGETS, TIERS, TOKENS_PER_COMMENT, TOKENS_PER_MINUTE
+from voxmeter.operators.quantiles import percentiles
 from voxmeter.operators.reports import share
 from voxmeter.sources.io import write_json
 
@@ -95,9 +96,10 @@ def call_stats(df: DataFrame, by: str = "sla_category") -> DataFrame:
     """Per category: totals, success rate, durations of the successes with linear percentiles, input sizes, throughput."""
     ok = F.col("error_count") == 0
     d, n = F.when(ok, F.col("processing_time")), F.when(ok, F.col("batch_size"))
-    p = F.percentile(d, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.groupBy(by).agg(F.count("*").alias("total"), F.count_if(ok).alias("successes"), F.avg(d).alias("mean"), F.min(d).alias("min"), F.max(d).alias("max"), p.alias("p"), F.avg(n).alias("mean_size"), F.min(n).alias("min_size"), F.max(n).alias("max_size"), F.try_divide(F.sum(n), F.sum(d)).alias("throughput"))
-    return out.withColumns({"failures": F.col("total") - F.col("successes"), "success_rate": share(F.col("successes"), F.col("total")), "p50": F.try_element_at("p", F.lit(1)), "p95": F.try_element_at("p", F.lit(2)), "p99": F.try_element_at("p", F.lit(3))}).drop("p")
+    out = df.groupBy(by).agg(F.count("*").alias("total"), F.count_if(ok).alias("successes"), F.avg(d).alias("mean"), F.min(d).alias("min"), F.max(d).alias("max"), F.avg(n).alias("mean_size"), F.min(n).alias("min_size"), F.max(n).alias("max_size"), F.try_divide(F.sum(n), F.sum(d)).alias("throughput"))
+    p = percentiles(df, d, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, [by]).withColumnRenamed(by, "__by")
+    out = out.join(p, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
+    return out.withColumns({"failures": F.col("total") - F.col("successes"), "success_rate": share(F.col("successes"), F.col("total"))})
 
 
 def sla_table(spark) -> DataFrame:
