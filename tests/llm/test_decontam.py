@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -43,6 +44,29 @@ def test_tiles_are_the_plain_algorithms(least):
         assert decontam.tile(np.array(doc, dtype=np.int64), np.array(item, dtype=np.int64), least) == plain_tile(doc, item, least), (doc, item)
 
 
+@pytest.mark.parametrize(("listed", "fruitless"), [(0, 3), (10**9, 0), (1, 1)])
+def test_tiles_of_repetitive_texts_are_the_plain_algorithms(monkeypatch, listed, fruitless):
+    """Whether pairs of seeds are listed or diagonals are compared, and however early runs are left out."""
+    monkeypatch.setattr(decontam, "LISTED", listed)
+    monkeypatch.setattr(decontam, "FRUITLESS", fruitless)
+    rng = random.Random(listed + fruitless)
+    for _ in range(150):
+        least = rng.choice([1, 2, 3])
+        item = [rng.randrange(rng.choice([1, 2, 3])) for _ in range(rng.randrange(1, 30))]
+        doc = [rng.randrange(-1, 2) for _ in range(rng.randrange(25))] + item[: rng.randrange(20)] * 2
+        assert decontam.tile(np.array(doc, dtype=np.int64), np.array(item, dtype=np.int64), least) == plain_tile(doc, item, least), (doc, item)
+
+
+@pytest.mark.parametrize("item", [[0] * 5000, [0, 1] * 2000, [0, 1, 2, 3, 4] * 800, ([0] * 50 + [7]) * 80])
+def test_twenty_thousand_words_that_repeat_take_seconds(item):
+    doc = np.array(([0, 1] if item[1] == 1 and item[2] == 0 else [0, 1, 2, 3, 4] if item[1] == 1 else [0]) * 20_000, dtype=np.int64)[:20_000]
+    began = time.process_time()
+    covered = decontam.tile(doc, np.array(item, dtype=np.int64), 3)
+    assert covered == sum(x != 7 for x in item)
+    # The last one has two million runs.
+    assert time.process_time() - began < (40 if 7 in item else 4)
+
+
 def test_rolled_hashes():
     rng = np.random.default_rng(1)
     x = rng.integers(-1, 5, 200)

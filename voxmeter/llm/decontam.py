@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -93,55 +93,88 @@ class Benchmark:
         return items[np.minimum(n, size) >= threshold * size].tolist()
 
 
+#: Pairs of equal seeds, per word of both texts, up to which they are listed one by one.
+LISTED = 16
+#: Runs without free words that are met before all such runs are left out at once.
+FRUITLESS = 4096
+
+
+def runs_of_seeds(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, ...] | None:
+    """(length, place in doc, place in item) of the longest common runs of at least ``least`` words, from the seeds on each diagonal; None if seeds have too many pairs."""
+    order = np.argsort(own := rolled(item, least), kind="stable")
+    keys, first, count = np.unique(own[order], return_index=True, return_counts=True)
+    seeds = rolled(doc, least)
+    at = np.searchsorted(keys, seeds)
+    at[at == len(keys)] = 0
+    i = np.flatnonzero(keys[at] == seeds)
+    n = count[at[i]]
+    if n.sum() > LISTED * (len(doc) + len(item)):
+        return None
+    j = order[np.repeat(first[at[i]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    i = np.repeat(i, n)
+    same = np.ones(len(i), dtype=bool)
+    for k in range(least):  # the words themselves
+        same &= doc[i + k] == item[j + k]
+    i, j = i[same], j[same]
+    order = np.lexsort((i, i - j))
+    i, j = i[order], j[order]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+    heads = np.flatnonzero(new)
+    return np.diff(np.append(heads, len(i))) + least - 1, i[heads], j[heads]
+
+
+def runs_of_diagonals(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """The same by comparing each diagonal as an array, for texts that repeat few words again and again."""
+    doc, item, found = doc.astype(np.int32), item.astype(np.int32), []
+    for d in range(least - len(item), len(doc) - least + 1):
+        i, j = max(d, 0), max(-d, 0)
+        n = min(len(doc) - i, len(item) - j)
+        edges = np.concatenate([[-1], np.flatnonzero(doc[i : i + n] != item[j : j + n]), [n]])
+        size = np.diff(edges) - 1
+        if (long := np.flatnonzero(size >= least)).size:
+            found.append((size[long], edges[long] + 1 + i, edges[long] + 1 + j))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+
 def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> int:
-    """Words of the item that greedy string tiling covers by runs of at least ``min_match`` words (a shorter item by itself)."""
+    """Words of the item that greedy string tiling covers by runs of at least ``min_match`` words (a shorter item by itself).
+
+    All longest common runs are found first; they are tiles in the order of their lengths,
+    and what longer tiles leave of a run waits its turn.
+    """
     least = min(min_match, len(item))
     if not least or len(doc) < least:
         return 0
+    runs = runs_of_seeds(doc, item, least) or runs_of_diagonals(doc, item, least)
+    order = np.lexsort((runs[2], runs[1], -runs[0]))
+    size, start, place = (x[order] for x in runs)
     free_doc, free_item = np.ones(len(doc), dtype=bool), np.ones(len(item), dtype=bool)
-    length = least
-    while length * 2 <= min(len(doc), len(item)):
-        length *= 2
-    covered = 0
-    while length >= least and not covered == len(item):
-        # All windows of this length that are free and equal, by hash and then word by word.
-        spots: dict[int, list[int]] = {}
-        open_item = np.convolve(free_item, np.ones(length, dtype=np.int64), "valid") == length
-        for j, h in enumerate(rolled(item, length).tolist()):
-            if open_item[j]:
-                spots.setdefault(h, []).append(j)
-        open_doc = np.convolve(free_doc, np.ones(length, dtype=np.int64), "valid") == length
-        keys = rolled(doc, length)
-        hits = np.flatnonzero(open_doc & np.isin(keys, np.fromiter(spots, dtype=np.uint64, count=len(spots))))
-        matches, longest = [], 0
-        for i in hits.tolist():
-            for j in spots[int(keys[i])]:
-                if i and j and free_doc[i - 1] and free_item[j - 1] and doc[i - 1] == item[j - 1]:
-                    continue  # part of a run that starts earlier
-                n = 0
-                while i + n < len(doc) and j + n < len(item) and free_doc[i + n] and free_item[j + n] and doc[i + n] == item[j + n]:
-                    n += 1
-                if n >= length:
-                    matches.append((-n, i, j))
-                    longest = max(longest, n)
-        if longest > 2 * length:
-            length = longest  # look for the longest ones first
+    covered = at = fruitless = 0
+    pieces: list[tuple[int, int, int]] = []
+    while covered < len(item) and (at < len(size) or pieces):
+        if at < len(size) and (not pieces or (-size[at], start[at], place[at]) <= pieces[0]):
+            n, i, j = int(size[at]), int(start[at]), int(place[at])
+            at += 1
+        else:
+            n, i, j = heappop(pieces)
+            n = -n
+        free = free_doc[i : i + n] & free_item[j : j + n]
+        if free.all():
+            free_doc[i : i + n] = free_item[j : j + n] = False
+            covered += n
             continue
-        heapify(matches)
-        while matches:
-            n, i, j = heappop(matches)
-            free = free_doc[i : i - n] & free_item[j : j - n]
-            if free.all():
-                free_doc[i : i - n] = free_item[j : j - n] = False
-                covered -= n
-                continue
-            # What longer tiles have left of a match waits its turn.
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
-            for a, b in edges.reshape(-1, 2).tolist():
-                if b - a >= length:
-                    heappush(matches, (a - b, i + a, j + a))
-        if not longest:
-            length = length // 2 if length // 2 >= least or length == least else least
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+        left = [(a - b, i + a, j + a) for a, b in edges.reshape(-1, 2).tolist() if b - a >= least]
+        for x in left:
+            heappush(pieces, x)
+        fruitless += not left
+        if fruitless > FRUITLESS:
+            # Runs with too few free words on either side.
+            words = [np.concatenate([[0], np.cumsum(x)]) for x in (free_doc, free_item)]
+            size, start, place = size[at:], start[at:], place[at:]
+            open_ = (words[0][start + size] - words[0][start] >= least) & (words[1][place + size] - words[1][place] >= least)
+            size, start, place, at, fruitless = size[open_], start[open_], place[open_], 0, 0
     return covered
 
 
