@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +84,56 @@ def test_odd_values_never_fail_a_table(spark):
     assert re.fullmatch('secret: "[\u0400-\u04ff-]+"', got[2].text) and len({got[i].text for i in (5, 6)}) == 2
 
 
+def labelled(rng):
+    """(text, what is personal in it), written down without the patterns under test."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    name = lambda: word(rng.randint(4, 8)).title()
+    given, family, kind = name(), rng.choice([name(), f"O'{name()}", f"{name()}-{name()}"]), rng.randrange(11)
+    if kind < 4:
+        title = rng.choice([["Mr", "Mr.", "mr.", "Mrs.", "Frau", "Señor", "Monsieur"], ["Dr.", "Prof.", "dr.", "Professor"]][kind % 2])
+        texts = [f"We saw {title} {given} {family} there. Later {given} left, and {family} too.", f"{title} {family}'s house, where {family} lives.", f"Yours, {title} {given} {family}. It is {family}'s."]
+        text = texts[rng.randrange(3)]
+        return "name", text, [x for x in (given, family) if x in text]
+    value = {
+        4: lambda: f"{word(5)}.{word(4)}{d(2)}@{word(6)}.{rng.choice(['com', 'de', 'co.uk'])}",
+        5: lambda: rng.choice([f"+49 {d(3)} {d(7)[:4]} {d(3)}", f"0176 {d(8)}", f"(212) 555-{d(4)}", f"+1 212 555 {d(4)}", f"030/{d(7)}"]),
+        6: lambda: rng.choice([".".join(str(rng.randrange(1, 255)) for _ in range(4)), ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)), f"2001:db8::{rng.randrange(1, 65536):x}:{d(2)}"]),
+        7: lambda: d(3) + "-" + d(2) + "-" + d(4),
+        8: lambda: word(3) + d(4) + word(3),
+        9: lambda: word(8) + d(8) + word(6),
+        10: lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJ234567") for _ in range(16)),
+    }[kind]()
+    text = {8: rng.choice(["the password is {}.", "password: {}", "api_key={}"]), 9: rng.choice(["Authorization: Bearer {}", "token = {}"])}.get(kind, "Contact: {}, thanks.")
+    return {4: "email", 5: "phone", 6: "ip", 7: "ssn", 8: "secret", 9: "secret", 10: "key"}[kind], text.format(value), [value]
+
+
+def test_recall_by_kind_on_labelled_texts():
+    rng, seen, hit = random.Random(11), Counter(), Counter()
+    for _ in range(4000):
+        kind, text, values = labelled(rng)
+        spans = [(a, b) for a, b, _ in S.entities(text)]
+        for v in values:
+            for m in re.finditer(re.escape(v), text):
+                seen[kind] += 1
+                hit[kind] += any(a <= m.start() and m.end() <= b for a, b in spans)
+    assert set(seen) == {"name", "email", "phone", "ip", "ssn", "secret", "key"}
+    assert {k: round(hit[k] / n, 3) for k, n in seen.items() if hit[k] < 0.97 * n} == {}
+
+
+@pytest.mark.parametrize("text", ["The password is required here.", "token is missing", "at 10:30:15, std::vector, a::b", "I miss London, dear sir, and the bearer of news", "2024-01-30 12:00", "section 3.1.4, pages 100-2000", "misses Paris; doctor said no", "0800 and 12345"])
+def test_clean_texts_have_no_entities(text):
+    assert S.entities(text) == []
+
+
+def test_one_person_one_stand_in():
+    text = "Mr John Smith came. John left with O'Neil, mrs. O'Neil's son; dr. Lee said: John Smith's."
+    got = [(text[a:b], k) for a, b, k in S.entities(text)]
+    assert got == [("John", "given-m"), ("Smith", "family"), ("John", "given-m"), ("O'Neil", "family"), ("O'Neil", "family"), ("Lee", "family"), ("John", "given-m"), ("Smith", "family")]
+    a, b = ("2001:db8::1:22", "2001:0DB8:0:0:0:0:1:22")
+    assert S.canonical("ip6", a) == S.canonical("ip6", b) and S.spelled("ip6", a, S.surrogate("ip6", S.canonical("ip6", a), KEY)).startswith("2001:")
+
+
 def test_numbers_without_a_check_digit_are_no_cards():
     assert S.entities("number 8643240540751637 and 4111 1111 1111 1112") == []
     assert [k for _, _, k in S.entities("card 4111 1111 1111 1111")] == ["card"]

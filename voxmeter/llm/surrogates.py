@@ -1,7 +1,7 @@
 """Personal data: keyed surrogates in place of detected entities.
 
-Emails, phone numbers, card and account numbers, IPv4 addresses, keys, tokens, passwords
-and names after titles are found by pattern. A surrogate has the type, format, script and
+Emails, phone numbers, card and account numbers, IP addresses, keys, tokens, passwords
+and names after titles, with their later mentions without one, are found by pattern. A surrogate has the type, format, script and
 gender of what it stands for and follows from a secret key and the entity alone, so one
 entity has one surrogate in all documents. Letters and digits are permuted within their
 own classes by a keyed Feistel network: distinct entities of a format get distinct
@@ -13,6 +13,7 @@ digit. Masks without a letter or digit hide nothing and are no entities.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from bisect import bisect_right
@@ -30,9 +31,13 @@ from voxmeter.llm.components import other_key
 # Titles by gender, fixed values.
 MALE = ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Sr", "Señor", "Don", "Signor", "господин", "г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Sra", "Señora", "Srta", "Doña", "Signora", "госпожа", "г-жа"]
+NEUTRAL = ["Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Dott", "доктор"]
+#: Titles that are also written small; others would be common words.
+SMALL = ["mr", "mrs", "ms", "dr", "prof", "herr", "frau", "señor", "señora", "monsieur", "madame"]
 GIVEN = {
     "m": ["Adrian", "Bruno", "Carl", "Dario", "Emil", "Fabian", "Gustav", "Hugo", "Ivan", "Jonas", "Karim", "Leo", "Martin", "Nils", "Oscar", "Pablo"],
     "f": ["Alba", "Bianca", "Clara", "Daria", "Elena", "Flora", "Greta", "Hanna", "Irene", "Julia", "Karla", "Lucia", "Marta", "Nora", "Olga", "Paula"],
+    "n": ["Alex", "Ariel", "Billie", "Casey", "Charlie", "Dominique", "Eden", "Jamie", "Jordan", "Kim", "Lou", "Morgan", "Noel", "Robin", "Sam", "Sasha"],
 }
 SYLLABLES = {"latin": ["ba", "den", "fi", "gor", "han", "jo", "kel", "lin", "mar", "nov", "pe", "ros", "sil", "tan", "ver", "wil"], "cyrillic": ["ба", "ден", "фи", "гор", "хан", "жо", "кел", "лин", "мар", "нов", "пе", "рос", "сил", "тан", "вер", "вил"]}
 #: Turns after which a format counts as exhausted: each further turn adds a character to the stand-in.
@@ -43,21 +48,33 @@ NAME = rf"{WORD}[\w'’-]*"
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
-    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"),
+    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{6,8})(?!\w)"),
+    "ip6": re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])"),
     "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "key": re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9-]{16,}"),
     "secret": re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)\s*[=:]\s*[\"']?([^\s\"']{6,})"),
 }
-TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.?\s+((?=[^\W\d_a-zа-я]){NAME}(?:\s+(?=[^\W\d_a-zа-я]){NAME})?)")
+#: Secrets said in other ways; what follows "is" must have a digit.
+SAID = [
+    re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)\s+is:?\s+[\"']?((?=[^\s\"']*\d)[^\s\"']{5,}[^\s\"'.,;:!?)])"),
+    re.compile(r"(?i:\bbearer)\s+((?=[\w.~+/-]*\d)[\w.~+/-]{15,}[\w~+/-]=*)"),
+]
+TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL + SMALL, key=len, reverse=True))})\.?\s+((?=[^\W\d_a-zа-я]){NAME}(?:\s+(?=[^\W\d_a-zа-я]){NAME})?)")
 #: A text without these has no entity but for names.
-HINT = re.compile(r"[@\d]|[Pp]ass|[Tt]oken|[Ss]ecret|[Kk]ey|PASS|TOKEN|SECRET|KEY|pwd|gh[pousr]_|sk-|xox")
-ORDER = ["email", "secret", "key", "iban", "ip", "phone", "ssn", "card"]
+HINT = re.compile(r"[@\d]|::|[Bb]earer|[Pp]ass|[Tt]oken|[Ss]ecret|[Kk]ey|PASS|TOKEN|SECRET|KEY|pwd|gh[pousr]_|sk-|xox")
+ORDER = ["email", "secret", "key", "iban", "ip", "ip6", "phone", "ssn", "card"]
 
 
 def gender(title: str) -> str:
-    return "m" if any(title.rstrip(".").lower() == t.lower() for t in MALE) else "f"
+    own = title.rstrip(".").lower()
+    return "m" if any(own == t.lower() for t in MALE) else "n" if any(own == t.lower() for t in NEUTRAL) else "f"
+
+
+def bare(name: str) -> str:
+    """A name without the ending of a possessive."""
+    return re.sub(r"(?:['’]s|['’-]+)$", "", name)
 
 
 def counts(kind: str, value: str) -> bool:
@@ -66,6 +83,9 @@ def counts(kind: str, value: str) -> bool:
         return any(map(str.isalnum, value.partition("@")[0]))
     if kind == "secret":
         return any(map(str.isalnum, value))
+    if kind == "ip6":
+        # Shorter ones are also scopes and times.
+        return any(map(str.isdigit, value)) and len(re.findall(r"\w+", value)) >= 3
     if kind == "card":
         digits = re.sub(r"\D", "", value)
         return digits[0] in "23456" and luhn(digits) == 0
@@ -87,25 +107,26 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         for kind in ORDER:
             if kind == "email" and "@" not in text:
                 continue
-            for m in PATTERNS[kind].finditer(text):
-                span = m.span(1 if kind == "secret" else 0)
-                if counts(kind, text[slice(*span)]):
-                    add(*span, kind)
-    families: dict[str, set[str]] = defaultdict(set)  # first word -> names that begin with it
+            for pattern in (PATTERNS[kind], *(SAID if kind == "secret" else ())):
+                for m in pattern.finditer(text):
+                    span = m.span(1 if kind == "secret" else 0)
+                    if counts(kind, text[slice(*span)]):
+                        add(*span, kind)
+    known: dict[str, set[tuple[str, str]]] = defaultdict(set)  # first word -> names that begin with it, and their kinds
     for m in TITLED.finditer(text):
         sex, words = gender(m[0].split()[0]), list(re.finditer(NAME, m[1]))
         at = m.start(1)
         for k, w in enumerate(words):
-            last = k == len(words) - 1
-            add(at + w.start(), at + w.end(), "family" if last else f"given-{sex}")
-            if last and len(w[0]) >= 3:
-                families[re.match(r"\w+", w[0])[0]].add(w[0])
-    if families:  # later mentions without a title
+            name, kind = bare(w[0]), "family" if k == len(words) - 1 else f"given-{sex}"
+            add(at + w.start(), at + w.start() + len(name), kind)
+            if len(name) >= 3:
+                known[re.match(r"\w+", name)[0]].add((name, kind))
+    if known:  # mentions without a title
         for m in re.finditer(r"\w+", text):
-            for name in sorted(families.get(m[0], ()), key=len, reverse=True):
+            for name, kind in sorted(known.get(m[0], ()), key=lambda x: (-len(x[0]), x[1])):
                 end = m.start() + len(name)
                 if text.startswith(name, m.start()) and not re.match(r"\w", text[end : end + 1]):
-                    add(m.start(), end, "family")
+                    add(m.start(), end, kind)
     return found
 
 
@@ -113,7 +134,9 @@ def canonical(kind: str, value: str) -> str:
     """What is the same entity in several spellings."""
     if kind in ("email", "family") or kind.startswith("given"):
         return value.lower()
-    return re.sub(r"[ .()-]", "", value) if kind in ("phone", "card", "iban", "ssn") else value
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).exploded
+    return re.sub(r"[ .()/-]", "", value) if kind in ("phone", "card", "iban", "ssn") else value
 
 
 def draw(key: bytes, *parts: object) -> int:
@@ -180,8 +203,10 @@ def surrogate(kind: str, entity: str, key: bytes, turn: int = 0) -> str:
             x = permuted(x, 1 << 32, key, tweak)
             if 1 <= x >> 24 <= 223 and x >> 24 != 127:
                 return ".".join(map(str, x.to_bytes(4)))
+    if kind == "ip6":
+        return shuffled(entity, key, tweak, fixed=4, alphabet="0123456789abcdef")
     if kind == "phone":
-        return shuffled(entity + wide, key, tweak, fixed=2 if entity.startswith("+") else 0)
+        return shuffled(entity + wide, key, tweak, fixed=2 if entity.startswith("+") else 1 if entity.startswith("0") else 0)
     if kind == "card":
         # The rest modulo ten stays, so a valid number gives a valid one.
         body = shuffled(entity[:-1] + wide, key, tweak, fixed=1)
@@ -207,7 +232,9 @@ def spelled(kind: str, original: str, stand_in: str) -> str:
     """The surrogate in the original's spelling: its punctuation, its case."""
     if kind in ("phone", "card", "iban", "ssn"):
         rest = iter(stand_in)
-        return "".join([*(c if c in " .()-" else next(rest) for c in original), *rest])
+        return "".join([*(c if c in " .()/-" else next(rest) for c in original), *rest])
+    if kind == "ip6":
+        return ipaddress.IPv6Address(stand_in).compressed
     if kind == "email":
         return stand_in.upper() if original.isupper() else stand_in
     if kind == "family" or kind.startswith("given"):
