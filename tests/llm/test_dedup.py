@@ -178,3 +178,10 @@ def test_hot_groups_are_split(spark):
     values = spark.createDataFrame([(h, [1000 * (h % 10) + k for k in range(50)] + [10**6 + h]) for h in range(600)], "h long, value array<long>")
     links = lines.bucket_links(bands.where("h < 600"), lambda wanted: values.join(wanted, "h", "left_semi"), 0.8, lambda v: [np.array(x) for x in v], limit=50).collect()
     assert union(600, [(r.a, r.b) for r in links]) == [h % 10 for h in range(600)]
+
+
+def test_lines_of_any_white_space_are_blank(docs_of):
+    """Separators count as blank in both tests, so such lines stay wherever they repeat."""
+    texts = ["some words of a line\n\x1c\x1f  \x85\n\x1c\x1f  \x85", "\x1c\x1f  \x85\nanother line of words", "\x1c\x1f  \x85x\n\x1c\x1f  \x85x"]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(docs_of(texts)).collect()}
+    assert got == {0: (texts[0], 0), 1: (texts[1], 0), 2: ("\x1c\x1f  \x85x", 1)}

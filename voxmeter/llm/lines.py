@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmeter.functions.text import BLANKS
 from voxmeter.llm.common import code_points, cut, runs
 from voxmeter.llm.components import Labels, connected_components, other_key
 
@@ -50,17 +51,38 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def windows(cp: np.ndarray, size: int) -> np.ndarray:
+    """The polynomial of each ``size`` code points, mod 2**64, from those of halves as long as there are such; in parts that stay in the processor's cache."""
+    out = np.empty(max(0, len(cp) - size + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(out), CACHED):
+            n = min(CACHED, len(out) - a)
+            own, length = cp[a : a + n + size - 1].astype(np.uint64), 1
+            h, done = np.zeros(n, dtype=np.uint64), 0
+            # The binary digits of the size: ``own`` has windows of 1, 2, 4, ... code points.
+            for bit in range(size.bit_length()):
+                if size >> bit & 1:
+                    # This window comes before what is done.
+                    rest = size - done - length
+                    part = own[rest : rest + n] if not done else own[rest : rest + n] * np.uint64(pow(int(STEP), done, 1 << 64))
+                    h += part
+                    done += length
+                if done < size:
+                    own = own[:-length] * np.uint64(pow(int(STEP), length, 1 << 64)) + own[length:]
+                    length *= 2
+            out[a : a + n] = h
+    return out
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """BANDS * ROWS least shingle hashes of each line; every line has at least SHINGLE characters."""
     cp, starts = code_points(lines)
-    cp = cp.astype(np.uint64)
+    h = windows(cp, SHINGLE)
+    n = len(h)
     with np.errstate(over="ignore"):
-        n = len(cp) - SHINGLE + 1
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(SHINGLE):
-            h = h * STEP + cp[k : n + k]
         h ^= h >> np.uint64(29)
-        h = (h * STEP) >> np.uint64(32)
+        h *= STEP
+        h >>= np.uint64(32)
     inside = np.ones(len(cp), dtype=bool)
     for k in range(SHINGLE):
         inside[starts[1:] - 1 - k] = False
@@ -188,12 +210,8 @@ def grouped(rows: list[tuple]) -> pa.RecordBatch:
 def shingles(lines: list[str]) -> list[np.ndarray]:
     """Each line's distinct shingles as sorted 64-bit hashes."""
     cp, starts = code_points([x.lower() for x in lines])
-    cp = cp.astype(np.uint64)
-    n = len(cp) - SHINGLE + 1
-    h = np.zeros(n, dtype=np.uint64)
+    h = windows(cp, SHINGLE)
     with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            h = h * STEP + cp[k : n + k]
         h ^= h >> np.uint64(29)
         h *= STEP
     return [np.unique(h[a : b - SHINGLE]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
@@ -372,8 +390,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, limit: int = LIMIT, id_
     lines that one of them takes for equal and the other does not all stay.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__id").isNotNull())
-    # A line with any character that is not white space; the tests for it and for equality are the same as in the tasks above.
-    place = cut(own.select("__id", F.posexplode(F.split("__text", "\n", -1)).alias("__no", "__line")).where(F.regexp_like("__line", F.lit(r"(?U)\S"))).select("__id", "__no", F.xxhash64("__line").alias("h"), F.hash("__line").alias("h2")))
+    # A line with any character that is not white space, as str.isspace in the tasks above has it; the test for equality is theirs too.
+    place = cut(own.select("__id", F.posexplode(F.split("__text", "\n", -1)).alias("__no", "__line")).where(F.ltrim("__line", F.lit(BLANKS)) != "").select("__id", "__no", F.xxhash64("__line").alias("h"), F.hash("__line").alias("h2")))
     found = similar_lines(own, "__text", threshold, limit)
     # Lines of one 64-bit hash that differ in the other one are different lines: they are left as they are.
     heads = place.groupBy("h").agg(F.min(F.struct("__id", "__no")).alias("first"), F.count("*").alias("n"), F.min("h2").alias("low"), F.max("h2").alias("high")).where("low = high")
