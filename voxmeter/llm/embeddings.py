@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmeter.llm.common import cut
+from voxmeter.llm.common import cut, least_hashed
 from voxmeter.llm.components import Labels, connected_components
 
 #: Vectors that the driver fits centroids on, at most: those with the smallest hashed ids.
@@ -167,7 +167,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         return alone(rows)
     dim, n = common
     own = classes.where(F.size("vec") == dim).select("rep", "copies", "vec")
-    sample = own.orderBy(F.xxhash64("rep")).limit(FIT_ROWS).select("vec").toArrow().column(0).combine_chunks()
+    sample = least_hashed(own, "rep", FIT_ROWS, n).select("vec").toArrow().column(0).combine_chunks()
     x = unit(matrix(sample, dim))
     k = max(1, min(MAX_CELLS, len(x) // 4, round(n**0.5 / 2)))
     centroids = spherical_kmeans(x, k)

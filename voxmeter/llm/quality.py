@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmeter.llm.common import code_points, cut, held_out, runs
+from voxmeter.llm.common import code_points, cut, held_out, least_hashed, runs
 
 FEATURES = ["log_chars", "log_words", "word_length", "letters", "upper", "digits", "spaces", "sentence_marks", "commas", "symbols", "distinct_words", "common_word", "repeated_lines", "line_length", "word_end_symbols", "capital_words", "lines_per_char", "long_words"]
 CHUNK = 1_500_000
@@ -187,7 +187,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     """
     rows = cut(feature_table(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id"))))
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = rows.where(~F.col("held_out")).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("label", *FEATURES).toArrow()
+    labelled = cut(rows.where(~F.col("held_out")).join(known, "doc_id"))
+    sample = least_hashed(labelled, "doc_id", fit_rows, labelled.count()).select("label", *FEATURES).toArrow()
     model = fit(np.column_stack([sample.column(f).to_numpy() for f in FEATURES]).astype(float), (sample.column("label").to_numpy() > 0).astype(float)) if sample.num_rows else Gam()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 18 * 48 + 6 * 100 numbers
 
