@@ -1,11 +1,12 @@
 """HTML extraction by tag-path ratios.
 
 Every text block of a page has a root-to-leaf tag path. Per path, text length outside links
-and punctuation are summed and divided by its blocks; both ratios are smoothed along the
-page and fused on a logarithmic scale that ends at plain prose. What elements and class
-names say is a weight on their paths, never a filter: paths over a share of the page's best
-value are content. The innermost element that holds nearly all content is the main one;
-in it a lower threshold counts, so that its headings, lists and short blocks stay.
+and punctuation are summed: the path's ratios to the one element that a path is. Both are
+smoothed along the page and fused into a product, times a weight for what elements and class
+names say, which is never a filter. Paths within a factor of the page's best one are content:
+a path of many paragraphs stands far above one of a single line, whatever their names. The
+innermost element that holds nearly all content is the main one; in it blocks count by
+themselves and a lower threshold holds, so that its headings, lists and short blocks stay.
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ SHAPES = set("area articles bar block body bottom box button buttons center cont
 PREFIXES = set("has with without no is".split())
 #: The fused ratio of blocks of 200 characters with four marks; above it a path is prose and no more.
 FULL = float(np.log1p(200 * 5))
-#: Shares of the best value: of content, of blocks inside the main element, and of content outside it; and what a block gets from being inside.
-HIGH, LOW, APART, INSIDE = 0.75, 0.25, 0.9, 0.3
-#: A page whose best value is less has no content.
+#: How many times the value of a content path the best path's may be; a block's share of the best block inside the main element, and what it gets from being inside.
+FACTOR, LOW, INSIDE = 2.0, 0.25, 0.3
+#: A page whose best block is less has no content.
 LEAST = 0.03
 
 
@@ -190,28 +191,30 @@ def smooth(x: np.ndarray) -> np.ndarray:
 
 
 def path_values(page: Page) -> tuple[np.ndarray, np.ndarray]:
-    """Each path's weighted value (0 for paths without a block), and each block's own smoothed value, from 0 to 1."""
+    """The logarithm of each path's weighted value (-inf for paths without a block), and each block's weighted value, from 0 to 1."""
     of = np.array([b[0] for b in page.blocks])
     size, linked = (np.array([f(b) for b in page.blocks], dtype=float) for f in (lambda b: len(b[2]), lambda b: b[3]))
     marks = np.array([sum(map(b[2].count, MARKS)) for b in page.blocks], dtype=float)
     n = np.bincount(of)
-    mean = lambda x: np.bincount(of, x, minlength=len(n)) / np.maximum(n, 1)
-    length, punctuation = smooth(mean(size - linked)[of]), smooth(mean(marks)[of])
-    fused = np.minimum(np.log1p(length * (1 + punctuation)), FULL) / FULL
+    total = lambda x: np.bincount(of, x, minlength=len(n))
+    mean = lambda x: total(x) / np.maximum(n, 1)
     weights = np.array(page.weights)
-    return mean(fused) * weights[: len(n)], fused * weights[of]
+    fused = smooth(np.log1p(total(size - linked))[of]) + smooth(np.log1p(total(marks))[of])
+    paths = np.where(n > 0, mean(fused) + np.log(np.maximum(weights[: len(n)], 1e-300)), -np.inf)
+    own = np.log1p(smooth(mean(size - linked)[of]) * (1 + smooth(mean(marks)[of])))
+    return paths, np.minimum(own, FULL) / FULL * weights[of]
 
 
-def content(page: Page, high: float = HIGH, low: float = LOW, apart: float = APART) -> list[str]:
+def content(page: Page, factor: float = FACTOR, low: float = LOW) -> list[str]:
     """The texts of the blocks that belong to the main text; of elements that hold as much the innermost is the main one."""
     if not page.blocks:
         return []
     value, own = path_values(page)
-    top = value.max()
-    if top < LEAST:
+    best = own.max()
+    if best < LEAST:
         return []
     of, element = (np.array([b[i] for b in page.blocks]) for i in (0, 1))
-    chosen = value[of] >= high * top
+    chosen = value[of] >= value.max() - np.log(factor)
     size = np.array([len(b[2]) for b in page.blocks])
     held = np.zeros(len(page.names) + 1, dtype=np.int64)  # the last one is the page
     np.add.at(held, element[chosen], size[chosen])
@@ -233,7 +236,7 @@ def content(page: Page, high: float = HIGH, low: float = LOW, apart: float = APA
         floor = 0.0
     else:
         floor = INSIDE * np.array(page.weights)[of]
-    keep = np.where(within, np.maximum(own, floor) >= low * top, chosen & (inside[element] | (value[of] >= apart * top)))
+    keep = np.where(within, np.maximum(own, floor) >= low * best, chosen)
     return [b[2] for b, k in zip(page.blocks, keep, strict=True) if k]
 
 
