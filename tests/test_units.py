@@ -293,6 +293,31 @@ def test_dense_calls_are_replayed_and_counted_like_the_plain_loop(spark):
     assert {r.call_id: r.streak for r in usage.rate_limit_backoff(df.where("call_id < 9000")).collect()} == want
 
 
+def test_a_bundle_is_there_as_a_whole_or_not(spark, tmp_path):
+    path, df = str(tmp_path / "bundle"), spark.range(100)
+    broken = df.select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("killed"))).alias("id"))
+    with pytest.raises(ValueError, match="no complete bundle"):
+        io.read_bundle(spark, path)
+    with pytest.raises(Exception, match="killed"):
+        io.write_bundle({"a": df, "b": broken}, path)
+    with pytest.raises(ValueError, match="no complete bundle"):
+        io.read_bundle(spark, path)
+    io.write_bundle({"a": df, "b": df.where("id < 5")}, path, "parquet")
+    with pytest.raises(Exception, match="killed"):
+        io.write_bundle({"a": df.where("id < 7"), "b": broken}, path)
+    assert {k: v.count() for k, v in io.read_bundle(spark, path).items()} == {"a": 100, "b": 5}
+    io.write_bundle({"c": df.where("id < 3")}, path)
+    assert {k: v.count() for k, v in io.read_bundle(spark, path).items()} == {"c": 3}
+
+
+def test_estimates_of_distinct_values(spark):
+    df = spark.range(60_000).select((F.col("id") % 20_000).cast("double").alias("x"), F.concat(F.lit("comment "), F.col("id") % 50_000).alias("comment"))
+    exact, about = (quality.describe(df, ["x"], exact=e).first().distinct_values for e in (True, False))
+    assert exact == 20_000 and abs(about - exact) <= 0.03 * exact
+    exact, about = (quality.validate_comments(df, exact=e).first().duplicates for e in (True, False))
+    assert exact == 10_000 and abs(about - exact) <= 0.03 * 50_000
+
+
 def test_thousands_of_keywords_are_joined_by_equality(spark):
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcde") for _ in range(n))

@@ -66,10 +66,20 @@ def rating_report(one: DataFrame) -> DataFrame:
     return one.select("total", "missing", F.bround(pct, 1).alias("missing_pct"), "negative", F.when(pct > 30, "warning").otherwise("ok").alias("missing_status"), F.when(F.col("negative") > 0, "warning").otherwise("ok").alias("range_status"))
 
 
-def validate_comments(df: DataFrame, c: str = "comment") -> DataFrame:
-    """Distinct comments are counted in a pass of their own, whose shuffle carries one row per task and text."""
+#: log2 of a sketch's slots: an estimate's standard error is 1.04 / sqrt(2**14), below one percent.
+SLOTS = 14
+
+
+def about_distinct(c: Column) -> Column:
+    """How many distinct values, by a sketch that each task keeps and sends on: nothing else is shuffled."""
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(c, SLOTS)), F.lit(0)).cast("long")
+
+
+def validate_comments(df: DataFrame, c: str = "comment", exact: bool = True) -> DataFrame:
+    """Distinct comments are counted in a pass of their own, whose shuffle carries one row per task and text; or estimated, to about one percent of them, in the same pass."""
     # A null comment has a hash too.
-    repeated = F.count(c) - F.count_distinct(F.xxhash64(c)) + F.coalesce(F.max(F.col(c).isNull().cast("long")), F.lit(0))
+    distinct = F.count_distinct(F.xxhash64(c)) if exact else about_distinct(F.xxhash64(c))
+    repeated = F.greatest(F.lit(0), F.count(c) - distinct + F.coalesce(F.max(F.col(c).isNull().cast("long")), F.lit(0)))
     return comment_report(df.agg(*named(comment_counts(c)), repeated.alias("duplicates")))
 
 
@@ -104,14 +114,14 @@ def observed_reports(written: DataFrame, seen: Observation, nps: str = "nps") ->
     }
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, least, exact quartiles, greatest, distinct values and nulls of each column."""
+def describe(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """Count, mean, sample deviation, least, exact quartiles, greatest, distinct values and nulls of each column. Distinct values are counted, or estimated to about one percent."""
     stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "nulls": lambda c: F.count_if(F.col(c).isNull())}
     one = df.agg(*[f(c).alias(f"{s}__{c}") for c in columns for s, f in stats.items()])
     out = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{s}__{c}").cast("long" if s in ("n", "nulls") else "double").alias(s) for s in stats]) for c in columns])))
     # One row per column and value; equal ones of a task are one before they are shuffled.
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))).where("v IS NOT NULL")
-    distinct = long.groupBy("column", "v").agg(F.lit(1)).groupBy("column").agg(F.count("*").alias("distinct_values"))
+    distinct = long.groupBy("column", "v").agg(F.lit(1)).groupBy("column").agg(F.count("*").alias("distinct_values")) if exact else long.groupBy("column").agg(about_distinct(F.xxhash64("v")).alias("distinct_values"))
     quartiles = percentiles(long, F.col("v"), {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column"])
     return out.join(quartiles, "column", "left").join(distinct, "column", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("long")))
 
@@ -137,6 +147,7 @@ def inference_quality(df: DataFrame, confidence: str, nps: str) -> DataFrame:
     high, some = F.try_divide("high", "n"), F.try_divide(F.col("high") + F.col("medium"), F.col("n"))
     rating = F.when(F.col("n") == 0, "NO_INFERENCES").when((F.col("quality_score") > 0.7) & (high > 0.6), "EXCELLENT").when((F.col("quality_score") > 0.5) & (some > 0.7), "GOOD").otherwise("ACCEPTABLE")
     one = one.withColumns({"low": F.col("n") - F.col("high") - F.col("medium"), "rating": rating})
+    # Fixed texts.
     advice = F.array_compact(F.array(F.when(F.col("quality_score") < 0.5, "Consider improving emotion analysis prompt for clearer emotional signals"), F.when(F.col("rating") == "ACCEPTABLE", "Review emotion weights - may need calibration for your domain")))
     return one.withColumn("recommendations", F.array_join(advice, "|"))
 

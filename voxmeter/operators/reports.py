@@ -171,6 +171,7 @@ def nps_opportunities(df: DataFrame) -> DataFrame:
         F.count_if((cat == "passive") & (F.col("alignment") == "misaligned")).alias("passive_promotion"),
         F.count_if((cat == "detractor") & (F.col("alignment_score") < 0.7)).alias("detractor_recovery"),
     )
+    # Fixed texts.
     actions = F.array_compact(F.array(F.when(F.try_divide("detractors", "total_analyzed") > 0.3, "Address detractor concerns - over 30% detractor rate"), F.when(F.try_divide("passives", "total_analyzed") > 0.5, "Focus on passive engagement - large neutral segment")))
     return one.withColumn("priority_actions", F.array_join(actions, "|"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxmeter import constants as K
 from voxmeter.queries.registry import HELPERS, query, rounded
+from voxmeter.sources import io
 from voxmeter.sources.scratch import scratch_path
 from voxmeter.streaming import quota, usage
 
@@ -152,11 +153,11 @@ def a9_usage_export(t):
     """The exported files read again, one row per number."""
     path = scratch_path(t.spark, "usage")
     usage.export_usage(t.api_usage, path)
-    parts = []
+    parts, files = [], io.read_bundle(t.spark, path)
     for dataset, names in (("summary", SESSION), ("trends", ["requests", "tokens", "mean_time"]), ("current", ["requests", "tokens", "batches"]), ("limits", ["requests_per_minute", "tokens_per_minute"])):
         place = F.concat(F.lit(" "), C("place").cast("string")) if dataset == "trends" else F.lit("")
         numbers = F.array(*[F.struct(F.concat(F.lit(n), place).alias("name"), C(n).cast("double").alias("value")) for n in names])
-        parts.append(t.spark.read.json(f"{path}/{dataset}").select(F.lit(dataset).alias("dataset"), F.inline(numbers)))
+        parts.append(files[dataset].select(F.lit(dataset).alias("dataset"), F.inline(numbers)))
     return rounded(usage.union_logs(*parts))
 
 
@@ -165,5 +166,6 @@ def a10_call_log_export(t):
     """The exported log with its targets, read again."""
     path = scratch_path(t.spark, "calls")
     usage.export_calls(t.api_usage, usage.sla_table(t.spark), path)
-    targets = t.spark.read.json(f"{path}/sla_targets").withColumnRenamed("sla_category", "function_name")
-    return t.spark.read.json(f"{path}/call_log").join(F.broadcast(targets), "function_name", "left").drop("ts")
+    files = io.read_bundle(t.spark, path)
+    targets = files["sla_targets"].withColumnRenamed("sla_category", "function_name")
+    return files["call_log"].join(F.broadcast(targets), "function_name", "left").drop("ts")

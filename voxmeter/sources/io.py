@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -158,6 +160,41 @@ def write_json(bundle: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
+MANIFEST = "number long, version string, format string, datasets array<string>"
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """The bundles committed under ``path``, none if there is nothing."""
+    try:
+        return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def write_bundle(bundle: dict[str, DataFrame], path: str, kind: str = "json") -> None:
+    """All datasets as one: they are written to a new folder, and a manifest that names it is added when the last one is complete.
+
+    ``read_bundle`` follows the newest manifest, so an export that dies leaves the bundle
+    before it, or none, never half of one. Works on any store that Spark writes to.
+    """
+    spark, version = next(iter(bundle.values())).sparkSession, uuid.uuid4().hex
+    number = (manifests(spark, path).agg(F.max("number")).first()[0] or 0) + 1
+    for name, df in bundle.items():
+        df.write.format(kind).save(f"{path}/data-{version}/{name}")
+    # One small file, in its place when its job commits.
+    spark.createDataFrame([(number, version, kind, list(bundle))], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The datasets of the newest complete bundle under ``path``."""
+    newest = manifests(spark, path).orderBy(F.desc("number"), F.desc("version")).first()
+    if newest is None:
+        raise ValueError(f"no complete bundle under {path}")
+    return {name: spark.read.format(newest.format).load(f"{path}/data-{newest.version}/{name}") for name in newest.datasets}
+
+
 def write_parquet(bundle: dict[str, DataFrame], path: str) -> None:
     for name, df in bundle.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from voxmeter.constants import REQUESTS_PER_MINUTE, SAFETY_MARGIN, SLA_TARGETS, TIERS, TOKENS_PER_COMMENT, TOKENS_PER_MINUTE
 from voxmeter.operators.quantiles import percentiles
 from voxmeter.operators.reports import share
-from voxmeter.sources.io import write_json
+from voxmeter.sources.io import write_bundle
 
 MINUTE = 60_000_000
 
@@ -152,18 +152,18 @@ def rate_limit_backoff(df: DataFrame, key: str = "api_key_id", order: tuple[str,
 
 
 def export_usage(df: DataFrame, path: str, rpm: int = REQUESTS_PER_MINUTE, tpm: int = TOKENS_PER_MINUTE) -> None:
-    """Session summary, hourly trend, usage of the minute that ends with the last call, and limits, each as JSON in a directory of its own."""
+    """Session summary, hourly trend, usage of the minute that ends with the last call, and limits, as one bundle of JSON."""
     end = F.col("__end")
     last = df.agg(F.max(micros("ts")).alias("__end"))
     current = df.crossJoin(F.broadcast(last)).where(micros("ts") > end - MINUTE).agg(F.coalesce(F.sum("requests_made"), F.lit(0)).alias("requests"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens"), F.count("*").alias("batches"))
     limits = df.sparkSession.createDataFrame([(rpm, tpm)], "requests_per_minute long, tokens_per_minute long")
-    write_json({"summary": session_summary(df), "trends": hourly_trend(df), "current": current, "limits": limits}, path)
+    write_bundle({"summary": session_summary(df), "trends": hourly_trend(df), "current": current, "limits": limits}, path)
 
 
 def export_calls(df: DataFrame, targets: DataFrame, path: str) -> None:
-    """The whole call log, and the targets it is held to, each as JSON in a directory of its own."""
+    """The whole call log, and the targets it is held to, as one bundle of JSON."""
     log = df.select(F.col("sla_category").alias("function_name"), F.col("processing_time").alias("duration"), "ts", F.col("batch_size").alias("input_size"), (F.col("error_count") == 0).alias("success"), "call_id")
-    write_json({"call_log": log, "sla_targets": targets}, path)
+    write_bundle({"call_log": log, "sla_targets": targets}, path)
 
 
 def utilisation(df: DataFrame, rpm: int = REQUESTS_PER_MINUTE, tpm: int = TOKENS_PER_MINUTE) -> DataFrame:
