@@ -59,6 +59,8 @@ def score_comments(df: DataFrame, scorer: Scorer, comment: str = "comment", key:
     return df.select(key, comment).mapInPandas(task, f"{key} {dict(df.dtypes)[key]}, content string, is_fallback boolean")
 
 
+#: Tasks of one round of calls at most; with more batches than that a task takes several.
+MOST_TASKS = 50_000
 ANSWERS = "batch_id long, digest long, contents array<string>, is_fallback array<boolean>"
 
 
@@ -75,14 +77,14 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("batch_id", "digest").agg(one).select("batch_id", "digest", "a.*")
 
 
-def ask(batches: DataFrame, scorer: Scorer, path: str, comment: str = "comment", retries: int = 3, together: int = 1) -> DataFrame:
+def ask(batches: DataFrame, scorer: Scorer, path: str, comment: str = "comment", retries: int = 3, together: int | None = None) -> DataFrame:
     """Answers of all ``batches``, from the table of answers under ``path`` where it has them, else from ``scorer``, which gets a whole batch a call.
 
-    Calls start in the order of batch_id, ``together`` of them in a task, and a task's answers
-    are part of the table as soon as the task has ended, whatever becomes of the job. So no
-    batch that has an answer is asked again, by later outputs or by another run over the same
-    comments in the same batches; a run that dies costs the calls under way. Answers of
-    failed calls are kept as fallbacks.
+    Calls start in the order of batch_id, ``together`` of them in a task (one, or as many as
+    leave no more than ``MOST_TASKS`` tasks). A task's answers are part of the table as soon
+    as it has ended, whatever becomes of the job: no batch that has an answer is asked again,
+    by later outputs or by another run over the same comments in the same batches, and a run
+    that dies costs the calls of the tasks under way. Failed calls are kept as fallbacks.
     """
     spark = batches.sparkSession
     # The table exists, if empty, before it is read.
@@ -97,6 +99,7 @@ def ask(batches: DataFrame, scorer: Scorer, path: str, comment: str = "comment",
 
     last = pending.agg(F.max("batch_id")).first()[0]
     if last is not None:
+        together = together or last // MOST_TASKS + 1
         dealt = pending.repartitionById(last // together + 1, F.floor(F.col("batch_id") / together).cast("int")).sortWithinPartitions("batch_id")
         # By this algorithm a task's file is moved to its place when the task commits, not when the job does.
         dealt.mapInArrow(task, ANSWERS).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
