@@ -44,6 +44,8 @@ SHAPES = set("area articles bar block body bottom box button buttons center cont
 PREFIXES = set("has with without no is".split())
 #: The fused ratio of blocks of 200 characters with four marks; above it a path is prose and no more.
 FULL = float(np.log1p(200 * 5))
+#: Power of a weight in a path's value, which is a product of sums: what lies outside the only article must have a dozen times its text and marks to count as much.
+STRENGTH = 5.0
 #: How many times the value of a content path the best path's may be; a block's share of the best block inside the main element, and what it gets from being inside.
 FACTOR, LOW, INSIDE = 2.0, 0.25, 0.3
 #: A page whose best block is less has no content.
@@ -200,7 +202,7 @@ def path_values(page: Page) -> tuple[np.ndarray, np.ndarray]:
     mean = lambda x: total(x) / np.maximum(n, 1)
     weights = np.array(page.weights)
     fused = smooth(np.log1p(total(size - linked))[of]) + smooth(np.log1p(total(marks))[of])
-    paths = np.where(n > 0, mean(fused) + np.log(np.maximum(weights[: len(n)], 1e-300)), -np.inf)
+    paths = np.where(n > 0, mean(fused) + STRENGTH * np.log(np.maximum(weights[: len(n)], 1e-300)), -np.inf)
     own = np.log1p(smooth(mean(size - linked)[of]) * (1 + smooth(mean(marks)[of])))
     return paths, np.minimum(own, FULL) / FULL * weights[of]
 
