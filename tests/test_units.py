@@ -6,6 +6,7 @@ import random
 from datetime import timedelta
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from voxmeter import constants as K
 from voxmeter.functions import churn, emotion, nps, responses, text
 from voxmeter.operators import batching, joins, quality, quantiles, reports, scoring
 from voxmeter.plans import pipeline
+from voxmeter.queries import ORACLES, QUERIES
 from voxmeter.queries.registry import Tables
 from voxmeter.sources import io, scratch
 from voxmeter.streaming import live, quota, usage
@@ -207,6 +209,20 @@ def test_rows_keep_the_order_of_the_files(spark, tmp_path):
     assert got.columns == ["id", "t", "n"] and {int(r.id): r.n for r in got.collect()} == {i: i // 3 for i in range(0, 2000, 3)}
 
 
+def test_the_run_numbers_a_table_of_several_files_as_its_sql(spark, sf_dir, tmp_path):
+    """Spark reads large files first; the SQL goes by ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, part in enumerate(("doc_id < 30", "doc_id >= 30 AND doc_id < 180", "doc_id >= 180")):
+        docs.where(part).coalesce(1).write.parquet(str(tmp_path / f"{k}"))
+        (tmp_path / "documents.parquet").mkdir(exist_ok=True)
+        next((tmp_path / f"{k}").glob("part-*.parquet")).rename(tmp_path / f"documents.parquet/part-{k}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT comment_id, batch_id, pos FROM ({ORACLES['p6_run_pipeline']})").fetchall()
+    got = QUERIES["p6_run_pipeline"](spark, str(tmp_path)).select("comment_id", "batch_id", "pos").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_scorer_failures_are_fallbacks(spark):
     df = spark.createDataFrame([(1, "bueno"), (2, None)], "comment_id long, comment string")
 

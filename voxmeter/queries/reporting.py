@@ -264,14 +264,15 @@ RUN = f"""SELECT comment_id, lang, source, nota, comment, nps, nps_was_inferred,
  (row_number() OVER (ORDER BY comment_id) - 1) // 80 AS batch_id, CAST((row_number() OVER (ORDER BY comment_id) - 1) % 80 AS INT) AS pos FROM run_enriched"""
 
 
-def whole_run(t, scorer=None):
-    return pipeline.run_pipeline(t.spark, comment_file(t), "comment_id", scorer, batch_size=80)
+def whole_run(t, scorer=None, rows=None):
+    return pipeline.run_pipeline(t.spark, comment_file(t, rows), "comment_id", scorer, batch_size=80)
 
 
 @query(RUN)
 def p6_run_pipeline(t):
     """The whole chain, from a file with other column names to enriched rows."""
-    out = whole_run(t)["results"].drop("nps_raw", "pain_points").withColumn("comment_id", C("comment_id").cast("long"))
+    # A run keeps its file's order, and Spark reads a table's files by size: the file that the SQL numbers is one in the order of ids.
+    out = whole_run(t, rows=t.comments.orderBy("comment_id"))["results"].drop("nps_raw", "pain_points").withColumn("comment_id", C("comment_id").cast("long"))
     return rounded(out, 6, "emotion_intensity", "sentiment_confidence", *[f"emo_category_{k}" for k in K.CATEGORIES])
 
 
