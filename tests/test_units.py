@@ -179,6 +179,13 @@ def test_a_failed_run_goes_on_where_it_ended(spark, tmp_path):
     assert sorted(int(call[0].split()[1]) // 5 for call in again) == sorted(set(range(12)) - known)
 
 
+def test_tasks_of_a_round_of_calls_do_not_grow_with_the_comments(spark, tmp_path):
+    df = spark.range(1001, numPartitions=2).select(F.col("id").alias("batch_id"), F.lit(0).alias("pos"), F.concat(F.lit("texto "), F.col("id")).alias("comment"))
+    replies = scoring.ask(scratch.written(scoring.gathered(df), "batches"), scoring.lexicon_scorer, str(tmp_path / "answers"))
+    assert replies.count() == 1001 and replies.where("is_fallback[0]").count() == 0
+    assert len([f for f in (tmp_path / "answers").glob("*.parquet")]) <= 1000
+
+
 def test_batch_size_follows_the_limits(spark, tmp_path):
     path, log = commented(spark, str(tmp_path / "in.csv"), 60), str(tmp_path / "log")
     usage_now = {"remaining_tokens": 100_000, "tokens_per_minute": 150_000, "remaining_requests": 400, "used_share": 0.8, "rate_limit_streak": 1}

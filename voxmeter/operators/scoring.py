@@ -59,8 +59,10 @@ def score_comments(df: DataFrame, scorer: Scorer, comment: str = "comment", key:
     return df.select(key, comment).mapInPandas(task, f"{key} {dict(df.dtypes)[key]}, content string, is_fallback boolean")
 
 
-#: Tasks of one round of calls at most; with more batches than that a task takes several.
-MOST_TASKS = 50_000
+#: Tasks of one round of calls at most; with more batches than that a task takes several. A task and its file of
+#: answers cost a tenth of a second, so they must not grow in number with the comments; a run that dies loses, of
+#: this many parts of its calls, those under way.
+MOST_TASKS = 1000
 ANSWERS = "batch_id long, digest long, contents array<string>, is_fallback array<boolean>"
 
 
@@ -119,7 +121,8 @@ def lexicon_scorer(comments: list[str]) -> list[dict]:
 
     out = []
     for c in comments:
-        good, bad = (any(w in c.lower() for w in words) for words in (LEXICON_POSITIVE, LEXICON_NEGATIVE))
+        lower = c.lower()
+        good, bad = (any(w in lower for w in words) for words in (LEXICON_POSITIVE, LEXICON_NEGATIVE))
         mood = "positive" if good and not bad else "negative" if bad and not good else "neutral"
         out.append({"emotions": {e: 0.8 if e in LEXICON_EMOTIONS[mood] else 0.15 for e in EMOTIONS}, "pain_points": ["mock_pain_point"] if bad else [], "churn_risk": 0.85 if bad else 0.2, "sentiment": mood})
     return out
