@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -261,6 +262,21 @@ def test_packing_round_trip(spark, docs_of, added):
     assert max(steps.values()) <= 8192
 
 
+def test_frequent_words_outlast_rare_ones(monkeypatch):
+    """However many words come once, one that comes all the time is encoded once; ids are the tokenizer's."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE", 40)
+    made, cache = [], packing.PieceCache
+    monkeypatch.setattr(packing, "PieceCache", lambda model: cache(SimpleNamespace(tokenize=lambda piece: made.append(piece) or model.tokenize(piece))))
+    bpe = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    texts = ["start " + " often ".join("".join(rng.choice("abcdeéß'.,\x01\n") for _ in range(rng.randrange(1, 9))).strip() + "z" for _ in range(5)) for _ in range(200)]
+    texts += ["it's a_b x.y end.", " lead", "trail ", "one\ttwo three\n", "q! ?", "\x85 \xa0", "a\u2028 b"]
+    assert [list(np.frombuffer(bpe.ids(t), dtype="<u4")) for t in texts] == [ids[:-1] for ids in tokens(texts)]
+    assert made.count("\u0120often") == 1
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

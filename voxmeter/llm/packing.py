@@ -27,8 +27,12 @@ from pyspark.sql import DataFrame
 POOL = 8192
 #: Words and pre-tokens that a worker remembers.
 CACHE = 600_000
-#: White space next to a space: there the split at single spaces would not be the tokenizer's.
-AWKWARD = re.compile(r"\s | \s")
+#: White space next to a space: there the split at single spaces would not be the tokenizer's. The space comes first, as a search for one character is fast.
+AWKWARD = re.compile(r" (?:(?=\s)|(?<=\s ))")
+#: Marks that end words.
+MARKS = frozenset(".,;:!?")
+#: To little-endian 32-bit bytes, by the number of ids.
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(65)]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group string"
 
 
@@ -43,40 +47,61 @@ def little(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class PieceCache(dict):
-    """Pre-token -> its ids by the tokenizer's model, as little-endian 32-bit bytes; emptied at ``CACHE`` of them."""
+class Remembered(dict):
+    """Key -> bytes in two generations of half of ``CACHE`` each: what the younger one lacks it takes over from the older one, so frequent keys stay."""
 
-    def __init__(self, model):
+    def __init__(self):
         super().__init__()
-        self.model, self.letters = model, byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.made(key)
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
             self.clear()
-        written = piece if piece.isascii() else piece.encode().decode("latin-1")
-        self[piece] = ids = little([t.id for t in self.model.tokenize(written.translate(self.letters))])
+        if len(key) <= 64:
+            self[key] = ids
         return ids
 
 
-class WordCache(dict):
-    """Word (after a space, if ``lead``) -> its ids, put together from its pre-tokens'; emptied at ``CACHE`` words."""
+class PieceCache(Remembered):
+    """Pre-token -> its ids by the tokenizer's model, as little-endian 32-bit bytes."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+
+    def made(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            # Of these only the space has another letter.
+            written = piece.replace(" ", "\u0120")
+        else:
+            written = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(written)]
+        return PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else little(ids)
+
+
+class WordCache(Remembered):
+    """Word (after a space, if ``lead``) -> its ids, put together from its pre-tokens'."""
 
     def __init__(self, encode, pieces: PieceCache, pattern: regex.Pattern, lead: str):
         super().__init__()
         self.encode, self.pieces, self.pattern, self.lead = encode, pieces, pattern, lead
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
+    def made(self, word: str) -> bytes:
         whole = self.lead + word
+        if word.isascii():
+            # Letters alone are one pre-token, and so is a last mark after them.
+            if word.isalpha():
+                return self.pieces[whole]
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                return self.pieces[whole[:-1]] + self.pieces[word[-1]]
         # Of newer letters two libraries may think differently: there the tokenizer cuts by itself.
-        if word.isascii() or max(word) < "\u0500":
-            ids = b"".join(map(self.pieces.__getitem__, self.pattern.findall(whole)))
-        else:
-            ids = little(self.encode(whole))
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        elif max(word) >= "\u0500":
+            return little(self.encode(whole))
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(whole)))
 
 
 class ByteBpe:
