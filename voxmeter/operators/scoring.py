@@ -60,8 +60,8 @@ def score_comments(df: DataFrame, scorer: Scorer, comment: str = "comment", key:
 
 
 #: Tasks of one round of calls at most; with more batches than that a task takes several. A task and its file of
-#: answers cost a tenth of a second, so they must not grow in number with the comments; a run that dies loses, of
-#: this many parts of its calls, those under way.
+#: answers cost a tenth of a second, so they must not grow in number with the comments; a run that dies loses
+#: the calls of the tasks under way.
 MOST_TASKS = 1000
 ANSWERS = "batch_id long, digest long, contents array<string>, is_fallback array<boolean>"
 
