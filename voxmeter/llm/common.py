@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmeter.sources.scratch import cut, scratch_dir
 
-__all__ = ["checkpoint_dir", "code_points", "cut", "held_out", "least_hashed", "runs", "table", "xxh64_longs"]
+__all__ = ["checkpoint_dir", "code_points", "cut", "held_out", "least_hashed", "runs", "table", "text_runs", "xxh64_longs"]
 MASK64 = (1 << 64) - 1
 P1, P2, P3, P4, P5 = (
     np.uint64(x)
@@ -66,6 +70,12 @@ def runs(n_chars: list[int], limit: int):
         yield start, len(n_chars)
 
 
+def text_runs(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Index ranges of consecutive texts of about ``limit`` characters in all, and the texts (null ones empty); a batch's strings are never held all at once."""
+    for a, b in runs(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), limit):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' code points in one array, a newline after each text, and the offsets at which the texts start (one more at the end)."""
     joined = "\n".join(texts) + "\n"

@@ -24,15 +24,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmeter.llm.common import code_points, cut, held_out, runs, xxh64_longs
+from voxmeter.llm.common import code_points, cut, held_out, text_runs, xxh64_longs
 
 ORDER = 4
 #: N-grams and contexts of all languages in a shard of the model, about.
 SHARD_ROWS = 2_000_000
-CHUNK = 1_500_000
+#: Characters of texts that a task works on at once, and n-grams of a language that it holds, about.
+CHUNK = 1 << 18
+HELD = 1_500_000
 SPACE = np.uint64(32)
 _alpha: list[np.ndarray] = []
 
@@ -84,17 +87,15 @@ def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=names)
 
     for batch in batches:
-        frame = batch.to_pandas()
-        for lang, texts in frame.groupby("lang")["text"]:
-            texts = texts.tolist()
-            for a, b in runs([len(t) for t in texts], CHUNK):
-                key, _, _ = symbols(texts[a:b])
+        for lang in batch.column(0).unique().to_pylist():
+            for _, _, texts in text_runs(batch.filter(pc.equal(batch.column(0), lang)).column(1), CHUNK):
+                key, _, _ = symbols(texts)
                 if len(key):
                     part = held.setdefault(lang, [])
                     part.append(np.unique(key, return_counts=True))
-                    if len(part) > 16:
+                    if len(part) > 32:
                         held[lang] = [merged(part)]
-                        if len(held[lang][0][0]) > CHUNK:
+                        if len(held[lang][0][0]) > HELD:
                             yield out(lang)
     for lang in list(held):
         yield out(lang)
@@ -229,12 +230,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Shards | None, id_col: st
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, last = shared.value, k == shards - 1
             for batch in batches:
-                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
                 sums = batch.column(batch.num_columns - 2)
-                totals = np.zeros((len(texts), len(langs))) if k == 0 else np.asarray(sums.flatten()).reshape(-1, len(langs)).copy()
-                n, n_letters = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-                for a, b in runs([len(t) for t in texts], CHUNK):
-                    key, n[a:b], n_letters[a:b] = symbols(texts[a:b])
+                totals = np.zeros((batch.num_rows, len(langs))) if k == 0 else np.asarray(sums.flatten()).reshape(-1, len(langs)).copy()
+                n, n_letters = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+                for a, b, texts in text_runs(batch.column(batch.num_columns - 1), CHUNK):
+                    key, n[a:b], n_letters[a:b] = symbols(texts)
                     own = np.flatnonzero(shard_of(key, shards) == k) if shards > 1 else slice(None)
                     text = np.repeat(np.arange(a, b), n[a:b])[own]
                     p = log_p(m, key[own])

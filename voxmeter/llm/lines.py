@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmeter.functions.text import BLANKS
-from voxmeter.llm.common import code_points, cut, runs
+from voxmeter.llm.common import code_points, cut, runs, text_runs
 from voxmeter.llm.components import Labels, connected_components, other_key
 
 SHINGLE = 7
@@ -32,8 +32,9 @@ BANDS, ROWS = 12, 4
 SEED = 42
 CHUNK = 1_000_000
 CACHED = 1 << 16
-#: Numbers in a tile of a group's matrix.
-TILE = 1 << 23
+#: Numbers in a tile of a group's matrix, and lines in it at most.
+TILE = 1 << 22
+HEIGHT = 512
 FILTER_BITS = 25
 #: Lines of a group that one task compares.
 LIMIT = 2048
@@ -118,10 +119,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def bands_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to (key, h): the band keys of every line that is long enough to be similar but not equal to another, repeated ones mostly once a task."""
     seen: set[int] = set()
-    for batch in batches:
+    for _, _, texts in (part for batch in batches for part in text_runs(batch.column(0), CHUNK)):
         distinct: dict[int, str] = {}
-        for text in batch.column(0):
-            for line in (text.as_py() or "").split("\n"):
+        for text in texts:
+            for line in text.split("\n"):
                 if len(line) >= SHINGLE and not line.isspace() and (k := line_hash(line)) not in seen:
                     distinct.setdefault(k, line)
         if len(seen) > SEEN:
@@ -240,7 +241,7 @@ def group_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     keep = shared[place]
     owner, column = owner[keep], column[place[keep]]
     width = int(shared.sum())
-    step = max(16, TILE // max(1, width))
+    step = min(HEIGHT, max(16, TILE // max(1, width)))
     bounds = np.searchsorted(owner, np.arange(0, len(sets) + step, step))
 
     def tile(k: int) -> np.ndarray:
@@ -357,10 +358,10 @@ def texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(membership(wanted, "h"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for _, _, texts in (part for batch in batches for part in text_runs(batch.column(0), CHUNK)):
             distinct: dict[int, str] = {}
-            for text in batch.column(0):
-                for line in (text.as_py() or "").split("\n"):
+            for text in texts:
+                for line in text.split("\n"):
                     if len(line) >= SHINGLE and not line.isspace():
                         distinct.setdefault(line_hash(line), line)
             h = np.fromiter(distinct, dtype=np.int64, count=len(distinct))

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 POOL = 8192
-#: Words and pre-tokens that a worker remembers.
-CACHE = 600_000
+#: Words, and pre-tokens of words that are not letters alone, that a worker remembers.
+CACHE = 400_000
 #: White space next to a space: there the split at single spaces would not be the tokenizer's. The space comes first, as a search for one character is fast.
 AWKWARD = re.compile(r" (?:(?=\s)|(?<=\s ))")
 #: Marks that end words.
@@ -93,11 +93,11 @@ class WordCache(Remembered):
     def made(self, word: str) -> bytes:
         whole = self.lead + word
         if word.isascii():
-            # Letters alone are one pre-token, and so is a last mark after them.
+            # Letters alone are one pre-token, which is remembered as a word only; so is a last mark after them.
             if word.isalpha():
-                return self.pieces[whole]
+                return self.pieces.made(whole)
             if word[-1:] in MARKS and word[:-1].isalpha():
-                return self.pieces[whole[:-1]] + self.pieces[word[-1]]
+                return self[word[:-1]] + self.pieces[word[-1]]
         # Of newer letters two libraries may think differently: there the tokenizer cuts by itself.
         elif max(word) >= "\u0500":
             return little(self.encode(whole))

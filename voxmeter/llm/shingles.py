@@ -21,7 +21,7 @@ from voxmeter.llm.lines import LIMIT, ROWS, SEED, STEP, band_keys, bucket_links,
 BANDS = 20
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
 CHUNK = 1 << 18
-CACHE = 400_000
+CACHE = 1 << 17
 _rng = np.random.default_rng(20240601)
 FACTORS = _rng.integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 FLIPS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
